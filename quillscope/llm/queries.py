@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..registry import Registry
 from ..session import load
 from .mixing import mix
+from .splitting import split_oversized
 from .tokenizer import encode_texts
 
 REGISTRY = Registry()
@@ -26,3 +27,8 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add()
 def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_target"))[1]
+
+
+@REGISTRY.add()
+def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_oversized(load(spark, sf_dir, "documents"), load(spark, sf_dir, "split_limit"))
