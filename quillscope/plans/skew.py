@@ -76,8 +76,8 @@ def random_rank(df: DataFrame, group: list[str], random: str, tie: list[str], ro
     (group, range), and the ranks of earlier ranges are added from a table of counts.
     """
     ranges = max(1, min(1 << 16, -(-rows // per_task)))
-    width = (1 << 64) // ranges
-    block = F.least(F.lit(ranges - 1), F.floor((F.col(random).cast("decimal(38,0)") + F.lit(1 << 63).cast("decimal(38,0)")) / F.lit(width).cast("decimal(38,0)")).cast("int"))
+    # Doubles round, but never turn the order of two hashes round.
+    block = F.least(F.lit(ranges - 1), F.floor((F.col(random).cast("double") / 2.0**64 + 0.5) * ranges).cast("int"))
     cut = df.withColumn("__block", block).withColumn("__one", F.lit(1).cast("bigint"))
     ranked = exclusive_sum(cut, group, "__block", [random, *tie], "__one", "__before")
     return ranked.withColumn(out, F.col("__before") + 1).drop("__block", "__one", "__before")
