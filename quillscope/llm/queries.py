@@ -5,15 +5,90 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.keys import norm_key
 from ..registry import Registry
 from ..session import load
+from .formatting import event_classes
 from .mixing import mix
+from .sampling import sample_by_targets
 from .splitting import split_oversized
 from .tokenizer import encode_texts
 
 REGISTRY = Registry()
 
 
+# DuckDB has no parser that sorts the fields of an object, so its form of profiles is made from their sorted pairs.
+_CANON = r"""
+ev AS (
+  SELECT lower(regexp_replace(id, '^\s+|\s+$', '', 'g')) AS id, min(content) AS content
+  FROM nostr_event WHERE kind IN (0, 1, 30023) AND id IS NOT NULL AND content IS NOT NULL GROUP BY 1),
+body AS (
+  SELECT id, CASE WHEN regexp_matches(content, '^\s*\{') AND json_valid(content)
+    THEN list_aggregate(list_sort(list_transform(json_keys(content), lambda k: k || ':' || json_extract_string(content, '$."' || k || '"'))), 'string_agg', ' ') ELSE content END AS text
+  FROM ev),
+canon AS (
+  SELECT id, regexp_replace(lower(upper(text)),
+    '[\p{P}\p{Z}\p{Cc}\p{Cf}\s$+<=>^`|~\x{34F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180E}\x{2800}\x{3164}\x{FE00}-\x{FE0F}\x{FFA0}]+', '', 'g') AS canon
+  FROM body
+  WHERE length(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g')) >= 20)"""
+
+
+@REGISTRY.add(f"""
+WITH {_CANON}
+SELECT first_id AS id_a, id AS id_b FROM (SELECT id, min(id) OVER (PARTITION BY canon) AS first_id FROM canon) WHERE id > first_id""")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = event_classes(load(spark, sf_dir, "nostr_event"))
+    return pairs.where("id <> first_id").select(F.col("first_id").alias("id_a"), F.col("id").alias("id_b"))
+
+
+@REGISTRY.add(f"""
+WITH {_CANON}
+SELECT min(id) AS first_id, count(*) AS n_copies FROM canon GROUP BY canon HAVING count(*) > 1""")
+def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record for each set of same contents, with its number of copies."""
+    return event_classes(load(spark, sf_dir, "nostr_event")).groupBy("first_id").agg(F.count("*").alias("n_copies")).where("n_copies > 1")
+
+
+def _name(c: str):
+    return F.regexp_replace(norm_key(F.col(c)), "_", "-")
+
+
+def _machine_samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(sample, report) of the clean machine samples."""
+    raid = load(spark, sf_dir, "raid_csv")
+    clean = raid.where((F.col("attack") == "none") & (_name("model") != "human") & (F.octet_length("generation") >= 100))
+    targets = load(spark, sf_dir, "sample_target")
+    targets = targets.select(_name("model").alias("model"), _name("domain").alias("domain"), "share_pm", "min_rows")
+    return sample_by_targets(clean, F.col("sample_id"), {"model": _name("model"), "domain": _name("domain")}, targets, "share_pm", "min_rows")
+
+
+_ELIGIBLE = r"""
+eligible AS (
+  SELECT sample_id, min(replace(lower(regexp_replace(model, '^\s+|\s+$', '', 'g')), '_', '-')) AS model,
+    min(replace(lower(regexp_replace(domain, '^\s+|\s+$', '', 'g')), '_', '-')) AS domain
+  FROM raid_csv WHERE attack = 'none' AND lower(regexp_replace(model, '^\s+|\s+$', '', 'g')) <> 'human' AND strlen(generation) >= 100
+  GROUP BY sample_id),
+goal AS (
+  SELECT t.model, t.domain, greatest(t.min_rows, (SELECT count(*) // 10 FROM eligible) * t.share_pm // 1000) AS wanted,
+    (SELECT count(*) FROM eligible e WHERE e.model = t.model AND e.domain = t.domain) AS available
+  FROM sample_target t)"""
+
+
+@REGISTRY.add(f"WITH {_ELIGIBLE} SELECT model, domain FROM goal WHERE available < wanted")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _machine_samples(spark, sf_dir)[1].where("not met").select("model", "domain")
+
+
+@REGISTRY.add()
+def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _machine_samples(spark, sf_dir)[0]
+
+
+@REGISTRY.add(f"WITH {_ELIGIBLE} SELECT model, domain, wanted::BIGINT AS wanted, available, available >= wanted AS met FROM goal")
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _machine_samples(spark, sf_dir)[1].drop("taken")
+
+
 @REGISTRY.add()
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(load(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"))
