@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import norm_key
 from ..registry import Registry
 from ..session import load
+from . import quality, repetition
 from .formatting import event_classes
 from .mixing import mix
 from .sampling import sample_by_targets
@@ -17,6 +18,80 @@ from .tokenizer import encode_texts
 REGISTRY = Registry()
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tab, rec, text) of the long texts of events and of all samples, deliveries and loads as they stand."""
+    events = load(spark, sf_dir, "nostr_event").where(F.col("kind").isin(1, 30023) & F.col("id").isNotNull())
+    samples = load(spark, sf_dir, "raid_csv").where("sample_id is not null")
+    return events.select(F.lit("nostr_event").alias("tab"), norm_key(F.col("id")).alias("rec"), F.col("content").alias("text")).unionByName(
+        samples.select(F.lit("raid_csv").alias("tab"), F.col("sample_id").cast("string").alias("rec"), F.col("generation").alias("text"))
+    )
+
+
+_TEXTS = r"""
+texts AS (
+  SELECT 'nostr_event' AS tab, lower(regexp_replace(id, '^\s+|\s+$', '', 'g')) AS rec, content AS text
+  FROM nostr_event WHERE kind IN (1, 30023) AND id IS NOT NULL
+  UNION ALL SELECT 'raid_csv', sample_id::VARCHAR, generation FROM raid_csv WHERE sample_id IS NOT NULL)"""
+
+@REGISTRY.add()
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _texts(spark, sf_dir).where("length(text) >= 80")
+    judged = texts.select("tab", "rec", quality.statistics(F.col("text")).alias("s"))
+    return judged.where(quality.is_no_prose(F.col("s"))).select("tab", "rec").distinct()
+
+
+@REGISTRY.add()
+def p3_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All statistics of each text and the reasons for which it fails."""
+    return quality.judge(_texts(spark, sf_dir), {"tab": F.col("tab"), "rec": F.col("rec")}, F.col("text"))
+
+
+@REGISTRY.add(f"""
+WITH {_TEXTS},
+one AS (SELECT tab, rec, min(text) AS text FROM texts WHERE text IS NOT NULL GROUP BY ALL),
+w AS (SELECT tab, rec, text, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM one)
+SELECT tab, rec, length(text)::BIGINT AS n_chars, len(w)::BIGINT AS n_words,
+  round(list_sum(list_transform(w, lambda x: length(x)))::DOUBLE / greatest(len(w), 1), 6) AS mean_word_length,
+  round(length(regexp_replace(text, '[\\p{{L}}\\p{{N}}\\s]+', '', 'g'))::DOUBLE / greatest(length(text), 1), 6) AS symbol_share
+FROM w WHERE len(w) > 0""")
+def p3_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of each text with words, once a record."""
+    one = _texts(spark, sf_dir).where("text is not null").groupBy("tab", "rec").agg(F.min("text").alias("text"))
+    judged = quality.judge(one, {"tab": F.col("tab"), "rec": F.col("rec")}, F.col("text")).where("n_words > 0")
+    return judged.select("tab", "rec", "n_chars", "n_words", F.round("mean_word_length", 6).alias("mean_word_length"), F.round("symbol_share", 6).alias("symbol_share"))
+
+
+_RUNS = f"""
+WITH {_TEXTS},
+w AS (SELECT DISTINCT tab, rec, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM texts WHERE text IS NOT NULL),
+g AS (SELECT tab, rec, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT tab, rec, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+again AS (SELECT tab, rec, i FROM g QUALIFY row_number() OVER (PARTITION BY tab, rec, g ORDER BY i) > 1),
+n AS (
+  SELECT tab, rec, sum(least(5, i - prev)) AS covered
+  FROM (SELECT *, coalesce(lag(i) OVER (PARTITION BY tab, rec ORDER BY i), -5) AS prev FROM again) GROUP BY tab, rec)
+"""
+
+
+@REGISTRY.add(_RUNS + "SELECT w.tab, w.rec FROM w JOIN n USING (tab, rec) WHERE len(w) >= 30 AND covered * 3 >= len(w)")
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = _texts(spark, sf_dir).select("tab", "rec", repetition.statistics(F.col("text"), every=False).alias("s"))
+    return measured.where(repetition.is_repetitive(F.col("s"))).select("tab", "rec").distinct()
+
+
+@REGISTRY.add(_RUNS + "SELECT w.tab, w.rec, len(w)::BIGINT AS n_words, round(coalesce(covered, 0)::DOUBLE / greatest(len(w), 1), 6) AS run_word_share FROM w LEFT JOIN n USING (tab, rec)")
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of words in repeated runs of each text."""
+    one = _texts(spark, sf_dir).where("text is not null").groupBy("tab", "rec").agg(F.min("text").alias("text"))
+    measured = repetition.measure(one, {"tab": F.col("tab"), "rec": F.col("rec")}, F.col("text"))
+    return measured.select("tab", "rec", "n_words", F.round("run_word_share", 6).alias("run_word_share"))
+
+
+@REGISTRY.add()
+def p7_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All shares of repeated content of each text and the reasons for which it fails."""
+    return repetition.measure(_texts(spark, sf_dir), {"tab": F.col("tab"), "rec": F.col("rec")}, F.col("text"))
+
+
 # DuckDB has no parser that sorts the fields of an object, so its form of profiles is made from their sorted pairs.
 _CANON = r"""
 ev AS (
