@@ -74,30 +74,33 @@ def _lines(text: Column) -> Column:
     def judged(x: Column) -> Column:
         size, k = F.greatest(x["size"], F.lit(1)), F.size(x["w"])
         common = _common(x["w"])
-        lost = (k >= 12) & (common < 0.06 * k)  # only such lines need the count of distinct words
+        digits = _count(x["c"], r"[^\p{Nd}]+") > 0.15 * size
+        lost = (k >= 12) & (common < 0.06 * k)
+        # Only such lines need the count of distinct words; a line that repeats itself is no table and no junk.
+        varied = F.when((k >= 12) & (digits | lost), F.size(F.array_distinct(x["w"])) > 0.5 * k).otherwise(True)
         structured = any_of([
             x["mark"] & (k <= 6) & ~x["end"],
-            _count(x["c"], r"[^\p{Nd}]+") > 0.15 * size,
+            digits & varied,
             _count(x["c"], r"[\p{L}\p{N}\s]+") > 0.3 * size,
             _count(x["c"], _LINK) < size / 2,
             F.regexp_count(x["c"], F.lit(_SEPARATOR)) * 4 > k,
             x["c"].rlike(_PAIR),
             x["c"].rlike(_CODE),
-            lost & (F.size(F.array_distinct(x["w"])) > 0.5 * k),
+            lost & varied,
         ])
         return F.struct(x["n"].alias("n"), x["w"].alias("w"), x["end"].alias("end"), x["mark"].alias("mark"), F.endswith(x["c"], F.lit("…")).alias("dots"), (x["size"] > 0).alias("full"), (structured & (x["size"] > 0)).alias("structured"))
 
     return F.transform(parts, judged)
 
 
-def statistics(text: Column) -> Column:
-    """A struct of statistics of a text; null for a null text. Shares of nothing are 0."""
+def statistics(text: Column, every: bool = True) -> Column:
+    """A struct of statistics of a text; null for a null text. Shares of nothing are 0. Without ``every``: the length and the share of prose."""
     def of(x: Column) -> Column:
         lines = x["lines"]
         full = F.filter(lines, lambda y: y["full"])
         flow = F.filter(lines, lambda y: ~y["structured"])
         return bind(F.struct(
-            F.flatten(F.transform(lines, lambda y: y["w"])).alias("w"),
+            (words(x["text"]) if every else F.lit(None).cast("array<string>")).alias("w"),
             F.flatten(F.transform(flow, lambda y: y["w"])).alias("flow_w"),
             F.aggregate(flow, F.lit(0).cast("bigint"), lambda a, y: a + y["n"] + 1).alias("flow_n"),
             F.size(full).alias("n_lines"),
@@ -114,8 +117,12 @@ def statistics(text: Column) -> Column:
         natural = (_common(x["flow_w"]) >= 0.08 * flow_words) | (F.size(F.array_distinct(x["flow_w"])) <= 0.5 * flow_words)
         lengths = F.aggregate(x["w"], F.lit(0).cast("bigint"), lambda a, y: a + F.length(y))
         share = lambda a, b: a / nonzero(b)
+        prose = F.when((flow_words > 0) & natural, F.least(F.lit(1.0), share(x["flow_n"], n_chars))).otherwise(0.0)
+        found = [n_chars.cast("bigint").alias("n_chars"), prose.alias("prose_share")]
+        if not every:
+            return F.struct(*found)
         return F.struct(
-            n_chars.cast("bigint").alias("n_chars"),
+            *found,
             n_words.cast("bigint").alias("n_words"),
             share(lengths, n_words).alias("mean_word_length"),
             share(_count(x["text"], r"[\p{L}\p{N}\s]+"), n_chars).alias("symbol_share"),
@@ -124,7 +131,6 @@ def statistics(text: Column) -> Column:
             share(x["marks"], x["n_lines"]).alias("bullet_line_share"),
             share(x["dots"], x["n_lines"]).alias("ellipsis_line_share"),
             share(_common(x["w"]), n_words).alias("common_word_share"),
-            F.when((flow_words > 0) & natural, F.least(F.lit(1.0), share(x["flow_n"], n_chars))).otherwise(0.0).alias("prose_share"),
         )
 
     return F.when(text.isNotNull(), bind(F.struct(_lines(text).alias("lines"), text.alias("text")), of))

@@ -10,6 +10,7 @@ from ..registry import Registry
 from ..session import load
 from . import quality, repetition
 from .formatting import event_classes
+from .language import fit_model, infer_languages, normal_label
 from .mixing import mix
 from .sampling import sample_by_targets
 from .splitting import split_oversized
@@ -33,10 +34,39 @@ texts AS (
   FROM nostr_event WHERE kind IN (1, 30023) AND id IS NOT NULL
   UNION ALL SELECT 'raid_csv', sample_id::VARCHAR, generation FROM raid_csv WHERE sample_id IS NOT NULL)"""
 
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes and long texts that are prose of at least 40 letters, with their languages."""
+    events = load(spark, sf_dir, "nostr_event").where(F.col("kind").isin(1, 30023) & F.col("id").isNotNull() & F.col("content").isNotNull())
+    model = fit_model(events, F.col("content"), F.col("lang"))
+    letters = F.length(F.regexp_replace("content", r"[^\p{L}]+", ""))
+    prose = events.where((letters >= 40) & ~quality.is_no_prose(quality.statistics(F.col("content"), every=False)))
+    return infer_languages(prose, {"id": norm_key(F.col("id")), "label": normal_label(F.col("lang"))}, F.col("content"), model)
+
+
+@REGISTRY.add()
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = _languages(spark, sf_dir)
+    wrong = F.col("label").isNull() | (F.size("langs") > 1) | (F.col("label") != F.get("langs", F.lit(0)))
+    return said.where((F.size("langs") > 0) & wrong).select("id", F.explode("langs").alias("lang")).distinct()
+
+
+@REGISTRY.add()
+def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each content, with its confidence, beside its label."""
+    return _languages(spark, sf_dir).select("id", "label", F.get("langs", F.lit(0)).alias("lang"), "confidence").distinct()
+
+
+@REGISTRY.add()
+def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments of the contents in several languages."""
+    mixed = _languages(spark, sf_dir).where("size(langs) > 1")
+    return mixed.select("id", F.posexplode("segments").alias("segment_no", "s")).select("id", "segment_no", "s.*").distinct()
+
+
 @REGISTRY.add()
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _texts(spark, sf_dir).where("length(text) >= 80")
-    judged = texts.select("tab", "rec", quality.statistics(F.col("text")).alias("s"))
+    judged = texts.select("tab", "rec", quality.statistics(F.col("text"), every=False).alias("s"))
     return judged.where(quality.is_no_prose(F.col("s"))).select("tab", "rec").distinct()
 
 
