@@ -28,12 +28,15 @@ COMMON = {
 }
 
 _MARK = r"^\s*(?:[-*+•‣▪–—>·◦#]+|[(\[]?\d{1,3}[)\].:]|\d{1,3} [-–])\s+"
-_LINK = r"\S*://\S+|\S*[#@][\p{L}\p{N}_]+|\S{26,}"
+_LINK = r"(?<!\S)(?:[a-zA-Z+.-]+://\S+|[^\s\p{L}\p{N}]{0,2}[#@][\p{L}\p{N}_]+|\S{26,})"
 _PAIR = r"^[^\p{L}\p{N}\s]?[\p{L}\p{N}_.-]+\"?\s*(?:=|->|:)\s*\S+$"
-_CODE = r"[\p{L}\p{N}_]\(|[{}]|[)\]\p{N}\"];\s*$|:=|==|\"\s*:|</?[a-zA-Z]+>"
+_CODE = r"(?<=[\p{L}\p{N}_])\(|[{}]|[)\]\p{N}\"];\s*$|:=|==|\"\s*:|</?[a-zA-Z]+>"
 _SEPARATOR = r"(?<=\s)[·•|/»›>~–—:,;*-]+(?=\s)"
 _END = r"[.!?…。！？][\"”»')\]]*\s*$"
-_LINES = r"\r\n|[\r\n\x{85}\x{2028}\x{2029}]"
+_LINES = r"[\r\n\x{85}\x{2028}\x{2029}]+"
+_SPACES = r"(?:[^\S ]|[\x{A0}\x{2000}-\x{200B}\x{3000}]|  )\s*"
+#: A line of many common words without any of these needs no further test.
+_SUSPECT = r"[{}()<>=|;:/\\·•»›\[\]#@_]|\S{26}"
 
 #: Published fixed thresholds (rules of the kind used for large web corpora) and the share of prose.
 RULES: list[Rule] = [
@@ -62,7 +65,7 @@ def _count(text: Column, pattern: str) -> Column:
 def _lines(text: Column) -> Column:
     """Each line with what it takes to judge it."""
     cut = F.transform(F.split(text, _LINES), lambda x: F.struct(F.length(x).alias("n"), x.alias("raw"), F.regexp_replace(x, _MARK, "").alias("body")))
-    clean = F.transform(cut, lambda x: F.struct(x["n"].alias("n"), (x["raw"] != x["body"]).alias("mark"), F.trim(F.regexp_replace(x["body"], r"[\s\x{A0}\x{2000}-\x{200B}\x{3000}]+", " ")).alias("c")))
+    clean = F.transform(cut, lambda x: F.struct(x["n"].alias("n"), (x["raw"] != x["body"]).alias("mark"), F.trim(F.regexp_replace(x["body"], _SPACES, " ")).alias("c")))
     parts = F.transform(
         clean,
         lambda x: F.struct(
@@ -78,7 +81,8 @@ def _lines(text: Column) -> Column:
         lost = (k >= 12) & (common < 0.06 * k)
         # Only such lines need the count of distinct words; a line that repeats itself is no table and no junk.
         varied = F.when((k >= 12) & (digits | lost), F.size(F.array_distinct(x["w"])) > 0.5 * k).otherwise(True)
-        structured = any_of([
+        sure = (k >= 8) & (common >= 0.2 * k) & ~x["c"].rlike(_SUSPECT)
+        structured = ~sure & any_of([
             x["mark"] & (k <= 6) & ~x["end"],
             digits & varied,
             _count(x["c"], r"[\p{L}\p{N}\s]+") > 0.3 * size,
