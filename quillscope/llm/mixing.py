@@ -187,7 +187,7 @@ def _slots(spark: SparkSession, goal: pd.DataFrame, weights: np.ndarray, caps: n
 
     drawn = spark.range(shards).mapInArrow(draw, "shard bigint, source_no bigint, slot bigint, k bigint")
     # The slots of a source are numbered through all shards; shards in blocks of 4096 for the running sum.
-    numbered = exclusive_sum(drawn.withColumn("part", F.expr("shard div 4096")), ["source_no"], "part", ["shard"], "k", "first")
+    numbered = exclusive_sum(drawn.withColumn("part", F.expr("shard div 4096")), ["source_no"], "part", ["shard"], {"first": "k"})
     drawn_by = {r[0]: r[1] for r in drawn.groupBy("source_no").agg(F.sum("k")).collect()}
     got = np.array([drawn_by.get(i, 0) for i in range(len(goal))], np.int64)
     over = np.maximum(got - caps, 0)
