@@ -49,24 +49,19 @@ def lookup(df: DataFrame, table: DataFrame, on: str | list[str], how: str = "lef
     return df.join(table, on, how)
 
 
-def exclusive_sum(df: DataFrame, group: list[str], block: str, order: list[str], value: str, out: str) -> DataFrame:
-    """Running sum of ``value`` before each row, in the order of (block, *order) within ``group``.
+def exclusive_sum(df: DataFrame, group: list[str], block: str, order: list[str], values: dict[str, str]) -> DataFrame:
+    """Running sums before each row, in the order of (block, *order) within ``group``; ``values``: column summed by new column.
 
     Two levels: a window within each (group, block), and one over the block totals only. Blocks must be
     numbered in the wanted order and be small enough for one task.
     """
     inner = Window.partitionBy(*group, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*group, block).agg(F.sum(value).alias("__t"))
-    outer = Window.partitionBy(*group).orderBy(block) if group else Window.partitionBy(F.lit(0)).orderBy(block)
-    base = totals.select(
-        *group, block, F.coalesce(F.sum("__t").over(outer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base")
-    )
-    return (
-        df.withColumn("__in", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-        .join(base, [*group, block], "left")
-        .withColumn(out, F.col("__base") + F.col("__in"))
-        .drop("__base", "__in")
-    )
+    outer = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(*group, block).agg(*[F.sum(v).alias(f"__t_{o}") for o, v in values.items()])
+    base = totals.select(*group, block, *[F.coalesce(F.sum(f"__t_{o}").over(outer), F.lit(0)).alias(f"__b_{o}") for o in values])
+    own = df.withColumns({f"__i_{o}": F.coalesce(F.sum(v).over(inner), F.lit(0)) for o, v in values.items()})
+    both = own.join(base, [*group, block], "left").withColumns({o: F.col(f"__b_{o}") + F.col(f"__i_{o}") for o in values})
+    return both.drop(*[f"__{x}_{o}" for o in values for x in "ib"])
 
 
 def random_rank(df: DataFrame, group: list[str], random: str, tie: list[str], rows: int, out: str, per_task: int = 100_000) -> DataFrame:
@@ -79,5 +74,5 @@ def random_rank(df: DataFrame, group: list[str], random: str, tie: list[str], ro
     # Doubles round, but never turn the order of two hashes round.
     block = F.least(F.lit(ranges - 1), F.floor((F.col(random).cast("double") / 2.0**64 + 0.5) * ranges).cast("int"))
     cut = df.withColumn("__block", block).withColumn("__one", F.lit(1).cast("bigint"))
-    ranked = exclusive_sum(cut, group, "__block", [random, *tie], "__one", "__before")
+    ranked = exclusive_sum(cut, group, "__block", [random, *tie], {"__before": "__one"})
     return ranked.withColumn(out, F.col("__before") + 1).drop("__block", "__one", "__before")
