@@ -253,7 +253,8 @@ def hex_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT l_orderkey, l_linenumber, a // gcd(a, b) AS num, b // gcd(a, b) AS denom, (a * 7 + 3 * b) // gcd(a * 7 + 3 * b, b * 7) AS sum_num, (b * 7) // gcd(a * 7 + 3 * b, b * 7) AS sum_denom, a * 100 // b AS scaled, a * 2 < b AS below_half FROM r""")
 def ratio_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line number over quantity: reduced, plus 3/7, times 100, and below a half."""
-    rows = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ratio.new(F.col("l_linenumber"), F.col("l_quantity")).alias("r"))
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").repartition(spark.sparkContext.defaultParallelism)
+    rows = lines.select("l_orderkey", "l_linenumber", ratio.new(F.col("l_linenumber"), F.col("l_quantity")).alias("r"))
     rows = rows.withColumn("s", ratio.add(F.col("r"), ratio.new(3, 7)))
     half = F.struct(F.lit(1).cast("bigint").alias("num"), F.lit(2).cast("bigint").alias("denom"))
     return rows.select("l_orderkey", "l_linenumber", "r.num", "r.denom", F.col("s.num").alias("sum_num"), F.col("s.denom").alias("sum_denom"), ratio.scale_int(F.col("r"), 100).alias("scaled"), ratio.less(F.col("r"), half).alias("below_half"))

@@ -13,10 +13,11 @@ def _long(x: Column | int) -> Column:
 
 
 def gcd(a: Column, b: Column) -> Column:
-    """Greatest common divisor by Euclid; 92 steps are enough for any two BIGINT."""
+    """Greatest common divisor by Euclid, in as many steps as numbers of this size can need (at most 93)."""
     start = F.struct(F.abs(a).alias("a"), F.abs(b).alias("b"))
-    step = lambda s, _: F.struct(F.when(s["b"] == 0, s["a"]).otherwise(s["b"]).alias("a"), F.when(s["b"] == 0, s["b"]).otherwise(s["a"] % F.when(s["b"] == 0, F.lit(1)).otherwise(s["b"])).alias("b"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step, lambda s: s["a"])
+    steps = (F.log2(F.least(F.abs(a), F.abs(b)).cast("double") + 1) * 1.4405).cast("int") + 2
+    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % s["b"]).alias("b")))
+    return F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda s: s["a"])
 
 
 def new(num: Column | int, denom: Column | int) -> Column:

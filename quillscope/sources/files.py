@@ -11,7 +11,10 @@ CRAWL_COLUMNS = ["timestamp", "event_id", "pubkey", "human", "confidence", "deep
 
 
 def binary_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, rel, length, content, ext): every file below a folder; content is read only if it is used."""
+    """(path, rel, length, content, ext): every file below a folder; content is read only if it is used.
+
+    Spark's listing leaves out names that start with a dot or an underscore, for every walk below.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     root = folder.rstrip("/").split("://")[-1]
     rel = F.regexp_replace(F.col("path"), "^.*?" + _literal(root) + "/", "")
