@@ -137,7 +137,7 @@ class LanguageModel:
             lang = np.repeat(unit[b.unit_of_word], sizes)[weight]
             model = cls(cls._table(b.h3[weight], lang, BITS3), cls._table(b.h5[weight], lang, BITS5))
             if k < rounds - 1:
-                unit = model.units(b).argmax(axis=1)
+                unit = model.units(b)[1].argmax(axis=1)
         return model
 
     @staticmethod
@@ -149,22 +149,25 @@ class LanguageModel:
         logs = np.log(rate)
         return (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
 
-    def units(self, b: _Batch) -> np.ndarray:
-        """Log-likelihood of each sentence for each language, of words that occur for the first time in the text."""
+    def units(self, b: _Batch) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihood of each sentence for each language: of words that are new in the text, and of all its words."""
         if not len(b.at):
-            return np.zeros((len(b.unit_first), len(LANGUAGES)))
+            nothing = np.zeros((len(b.unit_first), len(LANGUAGES)))
+            return nothing, nothing
         words = np.add.reduceat(self.t3[b.h3] + self.t5[b.h5], b.word_first, axis=0)
         words = np.maximum(words, words.max(axis=1, keepdims=True) - WORD_LIMIT * 2)
+        every = np.add.reduceat(words, b.unit_first, axis=0).astype(float) * 0.5
         words[~b.fresh] = 0
-        units = np.add.reduceat(words, b.unit_first, axis=0).astype(float) * 0.5
-        units[np.bincount(b.unit_of_word, minlength=len(units)) < LEAST_WORDS] = 0
-        return units
+        fresh = np.add.reduceat(words, b.unit_first, axis=0).astype(float) * 0.5
+        short = np.bincount(b.unit_of_word, minlength=len(every)) < LEAST_WORDS
+        fresh[short] = every[short] = 0
+        return fresh, every
 
     def infer(self, texts: list[str], penalty: float = PENALTY) -> list[dict]:
         """For each text: languages (the largest share first), shares, confidence, and segments (start, end, language, confidence)."""
         b = _Batch(texts)
         n, k = len(texts), len(LANGUAGES)
-        ll = self.units(b)
+        ll, whole = self.units(b)
         doc = b.unit_text
         seen = np.bincount(b.unit_of_word[b.fresh], minlength=len(doc)).astype(float) + 1e-3 if len(doc) else np.zeros(0)
         total = np.maximum(np.bincount(doc, seen, n), 1e-9)
@@ -172,7 +175,7 @@ class LanguageModel:
         def sums(x: np.ndarray) -> np.ndarray:
             return np.stack([np.bincount(doc, x[:, j], n) for j in range(k)], axis=1)
 
-        def post(share: np.ndarray) -> np.ndarray:
+        def post(share: np.ndarray, ll: np.ndarray = ll) -> np.ndarray:
             z = ll + np.log(np.maximum(share, 1e-12))[doc]
             z = np.exp(z - z.max(axis=1, keepdims=True))
             return z / z.sum(axis=1, keepdims=True)
@@ -201,9 +204,9 @@ class LanguageModel:
                 break
             allowed[np.flatnonzero(drop), weakest[drop]] = False
         share = em(np.where(allowed, np.maximum(share, 1e-3), 0) / np.maximum(np.where(allowed, np.maximum(share, 1e-3), 0).sum(axis=1, keepdims=True), 1e-9), 6)
-        chosen = post(np.where(allowed, share, 0))
+        chosen = post(np.where(allowed, share, 0), whole)  # what a sentence repeats still tells its language
         # Confidence: the posterior among all languages, each sentence's likelihood taken by the word.
-        free = ll / np.sqrt(seen)[:, None] if len(doc) else ll
+        free = whole / np.sqrt(np.bincount(b.unit_of_word, minlength=len(doc)))[:, None] if len(doc) else whole
         free = np.exp(free - free.max(axis=1, keepdims=True)) if len(doc) else free
         free = free / free.sum(axis=1, keepdims=True) if len(doc) else free
         lang = chosen.argmax(axis=1)

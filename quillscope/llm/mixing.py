@@ -97,7 +97,7 @@ def mix(
     ``blocks``: shard, slot, source, block_no, round, n_tokens, ids (packed as little-endian integers of 2 bytes,
     or 4 for vocabularies over 65,536). ``report``: for each source of the targets
     its wanted and actual thousandths of all tokens, its tokens, those used, the most times a block is used,
-    and whether the target is met within one percent of the whole. ``total_tokens`` defaults to all tokens of the targets' sources.
+    and whether it is met within a tenth of the target. ``total_tokens`` defaults to all tokens of the targets' sources.
 
     Defined results: null and empty texts and texts of sources without target (null included) give nothing;
     repeated documents count as they stand; null weights and repeats count as 0; a source with two target rows has their
@@ -230,4 +230,4 @@ def _report(spark: SparkSession, goal: pd.DataFrame, slots: DataFrame, block_tok
     both = sizes.join(by, "source", "left").fillna(0, ["used_tokens", "uses_of_a_block"])
     actual = F.when(F.sum("used_tokens").over(every) > 0, F.col("used_tokens") * 1000.0 / F.sum("used_tokens").over(every)).otherwise(0.0)
     both = both.withColumn("actual_pm", actual)
-    return both.select("source", "weight_pm", "actual_pm", "tokens", "used_tokens", "uses_of_a_block", (F.abs(F.col("actual_pm") - F.col("weight_pm")) < 10).alias("met"))
+    return both.select("source", "weight_pm", "actual_pm", "tokens", "used_tokens", "uses_of_a_block", (F.abs(F.col("actual_pm") - F.col("weight_pm")) <= 0.1 * F.col("weight_pm")).alias("met"))
