@@ -16,7 +16,7 @@ from .operators import report as rep
 from .operators import sampling as sm
 from .registry import Registry
 from .session import load
-from .sources import feed, files
+from .sources import feed, files, source_code
 from .streaming import live
 
 REGISTRY = Registry()
@@ -325,3 +325,30 @@ def clean_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "raid_csv")
     keep = files.clean_samples(rows.select(F.struct("sample_id", "model").alias("domain"), "model", "attack", "generation"))
     return keep.select("domain.sample_id", "domain.model")
+
+
+@REGISTRY.add()
+def script_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements that the reader of scripts finds in each document, counted."""
+    docs = load(spark, sf_dir, "documents").repartition(spark.sparkContext.defaultParallelism)
+    each = source_code.source_elements(docs, F.col("doc_id"), F.col("text"), "js")
+    return each.groupBy("path", "tag").agg(F.count("*").alias("n"))
+
+
+@REGISTRY.add(r"""WITH l AS (SELECT doc_id, unnest(string_split(CASE WHEN ends_with(text, chr(10)) THEN text[:-2] ELSE text END, chr(10))) AS v FROM documents WHERE text IS NOT NULL AND text <> '')
+SELECT doc_id, count(*) AS n_lines, sum(strlen(regexp_replace(v, '\r$', '')))::BIGINT AS n_bytes FROM l GROUP BY doc_id""")
+def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each document and their bytes without line ends."""
+    rows = load(spark, sf_dir, "documents").where("text <> ''").select("doc_id", tok.lines(F.col("text")).alias("l"))
+    size = F.aggregate("l", F.lit(0).cast("bigint"), lambda a, x: a + F.octet_length(x["value"]))
+    return rows.where("size(l) > 0").select("doc_id", F.size("l").cast("bigint").alias("n_lines"), size.alias("n_bytes"))
+
+
+@REGISTRY.add(r"""WITH d AS (SELECT doc_id, regexp_replace(regexp_replace(text, '</(?:p|div|h[1-6]|li|tr)\s*>|<br\s*/?>', chr(10), 'gi'), '<[^>]*>', ' ', 'g') AS t
+  FROM documents WHERE source = 'html-extract' AND text IS NOT NULL),
+e AS (SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&') AS t FROM d)
+SELECT doc_id, md5(trim(regexp_replace(regexp_replace(t, '[ \t\r]+', ' ', 'g'), ' ?\n ?(?:\n ?)*', chr(10), 'g'), ' ')) AS digest FROM e""")
+def html_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of the texts of HTML extracts."""
+    rows = load(spark, sf_dir, "documents").where("source = 'html-extract' and text is not null")
+    return rows.select("doc_id", F.md5(files.html_text(F.col("text"))).alias("digest"))

@@ -85,7 +85,7 @@ def lines(text: Column, tag: str = "line") -> Column:
     """Array of (tag, value) of the lines; without a last empty one, nor line ends."""
     parts = F.split(text, "\n")
     kept = F.when(F.get(parts, F.size(parts) - 1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return F.transform(kept, lambda x: F.struct(F.lit(tag).alias("tag"), F.regexp_replace(x, r"\r$", "").alias("value")))
+    return F.transform(kept, lambda x: F.struct(F.lit(tag).alias("tag"), F.regexp_replace(x, r"\r\z", "").alias("value")))
 
 
 def hex_encode(text: Column) -> Column:
