@@ -14,6 +14,7 @@ from ..functions.arrays import bind
 from ..functions.tokens import CHUNK_BYTES, channels
 from ..functions.vectors import SIZE, dc, detail_energy, walsh
 from ..plans.skew import exclusive_sum, lookup
+from ..session import Scratch
 
 DEPTHS = 8
 TRAIN_WINDOW = 50_000
@@ -41,15 +42,19 @@ def level_counts(stream: Column, offset: Column) -> Column:
 
 
 def document_streams(docs: DataFrame, order: str, text: str, window: int | None = TRAIN_WINDOW, chunk_bytes: int | None = CHUNK_BYTES) -> DataFrame:
-    """(file, stream): channel numbers of each document's first ``window`` tokens."""
-    return docs.select(F.col(order).cast("bigint").alias("file"), channels(F.col(text), chunk_bytes, window).alias("stream"))
+    """(file, stream): channel numbers of each document's first ``window`` tokens.
+
+    Written once (a channel takes three bits), as the streams are read for their sizes and again for their counts.
+    """
+    streams = docs.select(F.col(order).cast("bigint").alias("file"), channels(F.col(text), chunk_bytes, window).cast("array<tinyint>").alias("stream"))
+    return Scratch(docs.sparkSession, "streams").write(streams, "streams")
 
 
 def with_offsets(streams: DataFrame) -> DataFrame:
     """Adds ``offset``: the tokens of all documents before, in the order of ``file``."""
     sized = streams.select("file", F.size("stream").cast("bigint").alias("size"))
     placed = exclusive_sum(sized.withColumn("block", F.expr(f"file div {BLOCK}")), [], "block", ["file"], {"offset": "size"})
-    return streams.join(placed.select("file", "offset"), "file")
+    return lookup(streams, placed.select("file", "offset"), "file", "inner")
 
 
 def sum_levels(counted: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -104,13 +109,14 @@ def fingerprint(docs: DataFrame, group: str, order: str, text: str, window: int
 
     After each document follow max(1, floor(3 n / 100)) origin tokens in the same stream.
     """
-    stream = channels(F.col(text), chunk_bytes, window)
+    stream = channels(F.col(text), chunk_bytes, window).cast("array<tinyint>")
     rows = docs.where(F.col(group).isNotNull()).select(F.col(group).alias("who"), F.col(order).cast("bigint").alias("file"), stream.alias("stream"))
     rows = rows.withColumn("extra", F.greatest(F.lit(1), F.expr("3 * size(stream) div 100")).cast("int"))
-    rows = rows.withColumn("stream", F.concat("stream", F.array_repeat(F.lit(7), F.col("extra"))))
+    rows = rows.withColumn("stream", F.concat("stream", F.array_repeat(F.lit(7).cast("tinyint"), F.col("extra"))))
+    rows = Scratch(docs.sparkSession, "streams").write(rows, "streams")
     sized = rows.select("who", "file", F.size("stream").cast("bigint").alias("size"))
     placed = exclusive_sum(sized.withColumn("block", F.expr(f"file div {BLOCK}")), ["who"], "block", ["file"], {"offset": "size"})
-    counted = rows.join(placed.select("who", "file", "offset"), ["who", "file"]).select("who", "extra", level_counts(F.col("stream"), F.col("offset")).alias("levels"))
+    counted = lookup(rows, placed.select("who", "file", "offset"), ["who", "file"], "inner").select("who", "extra", level_counts(F.col("stream"), F.col("offset")).alias("levels"))
     levels = with_spectrum(sum_levels(counted, ["who"]))
     origin = counted.groupBy("who").agg(F.sum("extra").alias("origin_tokens"))
     return lookup(levels, origin, "who").withColumnRenamed("who", group)
