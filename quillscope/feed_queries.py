@@ -14,6 +14,7 @@ from .operators import graph as gr
 from .operators import metrics as mt
 from .operators import report as rep
 from .operators import sampling as sm
+from .plans.skew import spread
 from .registry import Registry
 from .session import load
 from .sources import feed, files, source_code
@@ -253,7 +254,7 @@ def hex_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT l_orderkey, l_linenumber, a // gcd(a, b) AS num, b // gcd(a, b) AS denom, (a * 7 + 3 * b) // gcd(a * 7 + 3 * b, b * 7) AS sum_num, (b * 7) // gcd(a * 7 + 3 * b, b * 7) AS sum_denom, a * 100 // b AS scaled, a * 2 < b AS below_half FROM r""")
 def ratio_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line number over quantity: reduced, plus 3/7, times 100, and below a half."""
-    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").repartition(spark.sparkContext.defaultParallelism)
+    lines = spread(load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"))
     rows = lines.select("l_orderkey", "l_linenumber", ratio.new(F.col("l_linenumber"), F.col("l_quantity")).alias("r"))
     rows = rows.withColumn("s", ratio.add(F.col("r"), ratio.new(3, 7)))
     half = F.struct(F.lit(1).cast("bigint").alias("num"), F.lit(2).cast("bigint").alias("denom"))
@@ -330,7 +331,7 @@ def clean_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add()
 def script_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements that the reader of scripts finds in each document, counted."""
-    docs = load(spark, sf_dir, "documents").repartition(spark.sparkContext.defaultParallelism)
+    docs = spread(load(spark, sf_dir, "documents"))
     each = source_code.source_elements(docs, F.col("doc_id"), F.col("text"), "js")
     return each.groupBy("path", "tag").agg(F.count("*").alias("n"))
 

@@ -49,6 +49,15 @@ def lookup(df: DataFrame, table: DataFrame, on: str | list[str], how: str = "lef
     return df.join(table, on, how)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over as many tasks as there are cores, if the input has fewer pieces than that; else as they are.
+
+    Few small files would leave cores idle; a large input has pieces enough and is not moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def exclusive_sum(df: DataFrame, group: list[str], block: str, order: list[str], values: dict[str, str]) -> DataFrame:
     """Running sums before each row, in the order of (block, *order) within ``group``; ``values``: column summed by new column.
 

@@ -13,6 +13,7 @@ from .functions import vectors as vec
 from .operators import detect as det
 from .operators import profile as prof
 from .operators.report import balanced, by_model
+from .plans.skew import spread
 from .registry import Registry
 from .session import load
 
@@ -44,7 +45,7 @@ def _walsh_sql(prefix: str) -> list[str]:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").repartition(max(8, spark.sparkContext.defaultParallelism), "doc_id")
+    return spread(load(spark, sf_dir, "documents"))
 
 
 @REGISTRY.add(f"WITH {TOKENS} SELECT doc_id, {_NAMED} FROM tok GROUP BY doc_id")
