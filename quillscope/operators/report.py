@@ -44,7 +44,7 @@ def leaderboard(scores: DataFrame, model: str, score: str, least: int = 1) -> Da
 
     means = scores.groupBy(model).agg(F.count("*").alias("n"), F.round(F.avg(score), 6).alias("avg_score")).where(F.col("n") >= least)
     order = Window.orderBy(F.desc("avg_score"), F.asc(model))  # one row a model
-    return means.withColumn("place", F.row_number().over(order))
+    return means.withColumn("place", F.row_number().over(order).cast("bigint"))
 
 
 def running_share(chunks: DataFrame, order: str, detected: str, total: str) -> DataFrame:
