@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import norm_key
+from ..plans.skew import spread
 from ..registry import Registry
 from ..session import load
 from . import quality, repetition
@@ -21,8 +22,8 @@ REGISTRY = Registry()
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tab, rec, text) of the long texts of events and of all samples, deliveries and loads as they stand."""
-    events = load(spark, sf_dir, "nostr_event").where(F.col("kind").isin(1, 30023) & F.col("id").isNotNull())
-    samples = load(spark, sf_dir, "raid_csv").where("sample_id is not null")
+    events = spread(load(spark, sf_dir, "nostr_event").select("id", "kind", "content")).where(F.col("kind").isin(1, 30023) & F.col("id").isNotNull())
+    samples = spread(load(spark, sf_dir, "raid_csv").select("sample_id", "generation")).where("sample_id is not null")
     return events.select(F.lit("nostr_event").alias("tab"), norm_key(F.col("id")).alias("rec"), F.col("content").alias("text")).unionByName(
         samples.select(F.lit("raid_csv").alias("tab"), F.col("sample_id").cast("string").alias("rec"), F.col("generation").alias("text"))
     )
@@ -36,7 +37,7 @@ texts AS (
 
 def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes and long texts that are prose of at least 40 letters, with their languages."""
-    events = load(spark, sf_dir, "nostr_event").where(F.col("kind").isin(1, 30023) & F.col("id").isNotNull() & F.col("content").isNotNull())
+    events = spread(load(spark, sf_dir, "nostr_event").select("id", "kind", "content", "lang")).where(F.col("kind").isin(1, 30023) & F.col("id").isNotNull() & F.col("content").isNotNull())
     model = fit_model(events, F.col("content"), F.col("lang"))
     letters = F.length(F.regexp_replace("content", r"[^\p{L}]+", ""))
     prose = events.where((letters >= 40) & ~quality.is_no_prose(quality.statistics(F.col("content"), every=False)))
@@ -142,7 +143,7 @@ canon AS (
 WITH {_CANON}
 SELECT first_id AS id_a, id AS id_b FROM (SELECT id, min(id) OVER (PARTITION BY canon) AS first_id FROM canon) WHERE id > first_id""")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = event_classes(load(spark, sf_dir, "nostr_event"))
+    pairs = event_classes(spread(load(spark, sf_dir, "nostr_event").select("id", "kind", "content")))
     return pairs.where("id <> first_id").select(F.col("first_id").alias("id_a"), F.col("id").alias("id_b"))
 
 
@@ -151,7 +152,7 @@ WITH {_CANON}
 SELECT min(id) AS first_id, count(*) AS n_copies FROM canon GROUP BY canon HAVING count(*) > 1""")
 def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record for each set of same contents, with its number of copies."""
-    return event_classes(load(spark, sf_dir, "nostr_event")).groupBy("first_id").agg(F.count("*").alias("n_copies")).where("n_copies > 1")
+    return event_classes(spread(load(spark, sf_dir, "nostr_event").select("id", "kind", "content"))).groupBy("first_id").agg(F.count("*").alias("n_copies")).where("n_copies > 1")
 
 
 def _name(c: str):
@@ -196,19 +197,19 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.add()
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_texts(load(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"))
+    return encode_texts(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), F.col("doc_id"), F.col("text"))
 
 
 @REGISTRY.add()
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_target"))[0]
+    return mix(spread(load(spark, sf_dir, "documents").select("doc_id", "source", "text")), load(spark, sf_dir, "mix_target"))[0]
 
 
 @REGISTRY.add()
 def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_target"))[1]
+    return mix(spread(load(spark, sf_dir, "documents").select("doc_id", "source", "text")), load(spark, sf_dir, "mix_target"))[1]
 
 
 @REGISTRY.add()
 def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_oversized(load(spark, sf_dir, "documents"), load(spark, sf_dir, "split_limit"))
+    return split_oversized(spread(load(spark, sf_dir, "documents").select("doc_id", "source", "text")), load(spark, sf_dir, "split_limit"))
