@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .keys import norm_key
+
 # Fixed values of the secp256k1 curve (public standard).
 _P = 2**256 - 2**32 - 977
 _N = 0xFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFFEBAAEDCE6AF48A03BBFD25E8CD0364141
@@ -34,7 +36,7 @@ def compute_id(event: dict[str, Column] | None = None, escape_html: bool = True)
 
 
 def valid_id(escape_html: bool = True) -> Column:
-    return F.coalesce(F.lower(F.trim(F.col("id"))) == compute_id(None, escape_html), F.lit(False))
+    return F.coalesce(norm_key(F.col("id")) == compute_id(None, escape_html), F.lit(False))
 
 
 def matches(ids=None, authors=None, kinds=None, since=None, until=None, tags=None) -> Column:
@@ -77,7 +79,7 @@ def elements() -> Column:
 
 def normal_url(url: Column) -> Column:
     """A relay's address without spaces around and slashes at its end; null if it is none or local."""
-    trimmed = F.regexp_replace(F.trim(url), "/+$", "")
+    trimmed = F.regexp_replace(F.regexp_replace(url, r"^\s+|\s+$", ""), "/+$", "")
     return F.when(trimmed.rlike("^wss?://") & ~F.lower(trimmed).rlike(r"localhost|127\.0\.0\.1"), trimmed)
 
 

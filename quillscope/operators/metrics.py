@@ -155,7 +155,7 @@ def digest(health: DataFrame, fitness: DataFrame, type_sig: DataFrame, bonds: Da
     )
 
 
-def rate_windows(tokens: DataFrame, order: str, new_vertex: Column, size: int = 100_000, threshold: tuple[int, int] = (1, 1_000_000), block: int = 100_000) -> DataFrame:
+def rate_windows(tokens: DataFrame, order: str, new_vertex: Column, size: int = 100_000, threshold: tuple[int, int] = (1, 1_000_000)) -> DataFrame:
     """(window, tokens, vertices, converged): tumbling windows of ``size`` tokens, counted by rank in ``order``.
 
     A window converges if it is at least the third full one and neither its rate nor those of the two before exceed the threshold.
@@ -163,8 +163,8 @@ def rate_windows(tokens: DataFrame, order: str, new_vertex: Column, size: int =
     """
     from ..plans.skew import exclusive_sum
 
-    flat = tokens.select(F.col(order).cast("bigint").alias("o"), new_vertex.cast("bigint").alias("v"), F.lit(1).cast("bigint").alias("one")).withColumn("b", F.expr(f"o div {block}"))
-    ranked = exclusive_sum(flat, [], "b", ["o"], {"i": "one"})
+    flat = tokens.select(F.col(order).cast("bigint").alias("o"), new_vertex.cast("bigint").alias("v"), F.lit(1).cast("bigint").alias("one"))
+    ranked = exclusive_sum(flat, [], ["o"], {"i": "one"})
     windows = ranked.groupBy(F.expr(f"i div {size}").alias("window")).agg(F.count("*").alias("tokens"), F.sum("v").alias("vertices"))
     full = windows.where(F.col("tokens") >= size)
     w = Window.orderBy("window")  # one row for many tokens

@@ -1,16 +1,21 @@
 """References to records that do not exist, kept up to date batch by batch.
 
-State is three append-only tables in the shared folder, each written in one segment a batch:
+State is append-only tables in one folder shared by the executors, each with a segment a batch:
 
-* ``events``: the events seen so far, each once, at its first arrival; the index of parents reads its narrow
-  columns (``key``, ``owner``, ``seen``), deletions are its rows of kind 5;
-* ``people``: the authors seen so far;
-* ``refs``: what became of each reference (``tab``, ``rec``, ``pos``, ``kind``, ``key``, ``seen``, ``status``,
-  ``step``); the row of the last step holds.
+* ``parents`` (``kind``, ``key``, ``owner``, ``came``): the events seen so far, each once, at its first arrival, and the authors;
+* ``gone`` (``key``, ``owner``): events that an author asked to delete;
+* ``refs`` (``tab``, ``rec``, ``pos``, ``kind``, ``key``, ``seen``, ``at``, ``late_rule``, ``status``, ``before``, ``step``): each reference
+  with what became of it, and again, with the status it had ``before``, whenever that changes. The row of the last step holds.
 
-A batch does three things. New references probe the index. Records that arrive resolve the references that
-wait for them. Deletions reopen references that were resolved. Only references touched by the batch are looked
-at again, so a batch costs what it brings, plus a probe of the waiting references.
+A batch does three things. New references probe the index of parents. Records that arrive resolve the references that
+wait for them. Deletions reopen references that were resolved. For all three the keys of the batch are sent to the state
+as a bitmap of fixed size, so the state is read where it lies, in its narrow columns, and only what the
+batch touches (and the few rows that the bitmap lets through by chance, which change nothing) is shuffled: the shuffle of a
+batch depends on the batch, not on the state. Every :data:`COMPACT` batches the segments are merged into one.
+
+A batch counts once its commit is written; the commit names the segments of all tables. A tracker on a
+folder with commits goes on after the last one, a batch whose id is committed already is skipped, and
+segments without a commit are overwritten: so a stream may be restarted and a batch delivered again.
 
 Status: ``ok``; ``missing`` (no such record, may still arrive); ``late`` (it arrived more than ``grace`` after
 the reference); ``deleted``. All but ``ok`` are open.
@@ -23,24 +28,24 @@ batches leave the state as it is; other columns are ignored. Batches must come i
 
 from __future__ import annotations
 
-from datetime import datetime
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import norm_key, pack_key, unpack_key
-from ..plans.skew import hot_keys, salted_join
-from ..session import Scratch
+from ..plans.skew import TASK_ROWS, bitmap, hot_keys, salted_join, with_maybe
+from ..session import Scratch, list_folder, read_text, write_text
 
 EVENT, AUTHOR = "e", "p"
-EVENT_SCHEMA = "key binary, owner binary, ekind int, tags array<array<string>>, seen timestamp"
-PEOPLE_SCHEMA = "key binary"
-REF_SCHEMA = "tab string, rec binary, pos bigint, kind string, key binary, seen timestamp, at timestamp, late_rule boolean, status string, step int"
+COMPACT = 16
+TABLES = {
+    "parents": "kind string, key binary, owner binary, came timestamp",
+    "gone": "key binary, owner binary",
+    "refs": "tab string, rec binary, pos bigint, kind string, key binary, seen timestamp, at timestamp, late_rule boolean, status string, before string, step bigint",
+}
 COLUMNS = ["tab", "rec", "pos", "kind", "key", "seen", "at", "late_rule"]
-
-
-def _probe(kind: Column | None = None) -> Column:
-    return F.concat((F.col("kind") if kind is None else kind).cast("binary"), F.col("key")).alias("probe")
+REF_ID = ["tab", "rec", "pos"]
 
 
 def _first(t: str, i: int) -> Column:
@@ -89,124 +94,167 @@ def _deletions(events: DataFrame) -> DataFrame:
 
 
 class OrphanTracker:
-    """Keyed state of open references; call :meth:`step` for each batch, or use it in ``foreachBatch``."""
-
-    def __init__(self, spark: SparkSession, grace_hours: float = 24.0, scratch: Scratch | None = None):
-        self.spark, self.grace = spark, grace_hours
-        self.scratch = scratch or Scratch(spark, "orphans")
-        self.steps = 0
-
-    def _segments(self, name: str, schema: str, upto: int | None = None) -> DataFrame:
-        n = self.steps if upto is None else upto
-        if not n:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[self.scratch.path(f"{name}/{k}") for k in range(n)])
+    """Keyed state of open references; call :meth:`step` for each batch, or use it in ``foreachBatch``.
+
+    With a ``root`` (a folder that all executors reach) the state stays there and a later tracker goes on with it;
+    without one it lies in the session's scratch folder and goes with the session.
+    """
+
+    def __init__(self, spark: SparkSession, grace_hours: float = 24.0, root: str | None = None, compact_every: int = COMPACT, task_rows: int = TASK_ROWS):
+        self.spark, self.grace, self.compact_every, self.task_rows = spark, grace_hours, compact_every, task_rows
+        self.root = root.rstrip("/") if root else Scratch(spark, "orphans").root
+        self.segments: dict[str, list[str]] = {name: [] for name in TABLES}
+        self.steps, self.last_batch = 0, None
+        commits = sorted(int(n) for n in list_folder(spark, f"{self.root}/commits") if n.isdigit())
+        if commits:
+            state = json.loads(read_text(spark, f"{self.root}/commits/{commits[-1]}"))
+            self.segments, self.steps, self.last_batch = state["segments"], state["steps"], commits[-1]
+
+    def _table(self, name: str) -> DataFrame:
+        paths = [f"{self.root}/{p}" for p in self.segments[name]]
+        return self.spark.read.schema(TABLES[name]).parquet(*paths) if paths else self.spark.createDataFrame([], TABLES[name])
+
+    def _add(self, name: str, rows: DataFrame, batch: int) -> DataFrame:
+        """Write a segment; it is part of the state from now on, and for good from the commit on."""
+        path = f"{name}/{batch}"
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{path}")
+        self.segments[name].append(path)
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{path}")
 
     @property
     def refs(self) -> DataFrame:
-        return self._segments("refs", REF_SCHEMA)
-
-    def step(self, batch: DataFrame, reports: DataFrame | None = None) -> None:
-        """Take in one batch of events, and of older reports."""
-        k = self.steps
+        return self._table("refs")
+
+    def step(self, batch: DataFrame, reports: DataFrame | None = None, batch_id: int | None = None) -> None:
+        """Take in one batch of events, and of older reports. A batch that is committed already is skipped."""
+        k = self.steps if batch_id is None else batch_id
+        if self.last_batch is not None and k <= self.last_batch:
+            return
+        arrived = F.col("received_at").cast("timestamp")
         rows = batch.where(F.col("id").isNotNull()).select(
             pack_key(norm_key(F.col("id"))).alias("key"),
             F.struct(
-                F.col("received_at").cast("timestamp").isNull().alias("none"),
-                F.col("received_at").cast("timestamp").alias("seen"),
+                arrived.isNull().alias("none"),
+                arrived.alias("seen"),
                 pack_key(norm_key(F.col("pubkey"))).alias("owner"),
                 F.coalesce(F.col("kind"), F.lit(-1)).cast("int").alias("ekind"),
                 F.coalesce(F.col("tags"), F.array().cast("array<array<string>>")).alias("tags"),
             ).alias("e"),
         )
-        # Arrivals: each id of the batch once, without those that came in an earlier batch.
-        fresh = rows.groupBy("key").agg(F.min("e").alias("e"))
-        if k:
-            fresh = fresh.join(self._segments("events", EVENT_SCHEMA).select("key"), "key", "left_anti")
-        fresh = self.scratch.write(fresh.select("key", "e.owner", "e.ekind", "e.tags", "e.seen"), f"events/{k}")
-        people = fresh.where("owner is not null").select(F.col("owner").alias("key")).distinct()
-        if k:
-            people = people.join(self._segments("people", PEOPLE_SCHEMA), "key", "left_anti")
-        people = self.scratch.write(people, f"people/{k}")
+        fresh = rows.groupBy("key").agg(F.min("e").alias("e")).select("key", "e.owner", "e.ekind", "e.tags", "e.seen")
+        scratch = Scratch(self.spark, "batch")
+        fresh = scratch.write(fresh, "fresh")
+        names = fresh.select(F.lit(EVENT).alias("kind"), "key").union(fresh.where("owner is not null").select(F.lit(AUTHOR), F.col("owner")))
+        if self.segments["parents"]:
+            # Records that came in an earlier batch: the bitmap finds them in place, the join settles them.
+            known = self._touched("parents", bitmap(names, "kind", "key")).select("kind", "key")
+            fresh = scratch.write(fresh.join(known.where(F.col("kind") == EVENT).select("key"), "key", "left_anti"), "new")
+            people = fresh.where("owner is not null").select(F.col("owner").alias("key")).distinct()
+            people = people.join(known.where(F.col("kind") == AUTHOR).select("key"), "key", "left_anti")
+        else:
+            people = fresh.where("owner is not null").select(F.col("owner").alias("key")).distinct()
+        none = F.lit(None)
+        parents = fresh.select(F.lit(EVENT).alias("kind"), "key", "owner", F.col("seen").alias("came")).union(
+            people.select(F.lit(AUTHOR), "key", none.cast("binary"), none.cast("timestamp"))
+        )
+        past = self.refs if self.segments["refs"] else None
+        parents = self._add("parents", parents, k)
+        gone = self._add("gone", _deletions(fresh), k)
 
         todo = event_refs(fresh)
         if reports is not None:
             todo = todo.unionByName(report_refs(reports))
-        hot = hot_keys(todo.select(_probe()), "probe")
-        if k:
-            past = self.refs
-            arrived = fresh.select(F.lit(EVENT).alias("kind"), "key").union(people.select(F.lit(AUTHOR), "key"))
-            woken = past.where("status = 'missing'").select(*COLUMNS).join(arrived, ["kind", "key"], "left_semi")
-            reopened = past.where(f"status in ('ok', 'late') and kind = '{EVENT}'").select(*COLUMNS)
-            reopened = reopened.join(_deletions(fresh).select("key").distinct(), "key", "left_semi").select(*COLUMNS)
-            todo = todo.unionByName(woken.select(*COLUMNS).unionByName(reopened).distinct())
-        self.scratch.write(self._judge(todo, k, hot), f"refs/{k}")
+        todo = todo.withColumn("before", none.cast("string"))
+        if past is not None:
+            news = bitmap(parents.select("kind", "key").union(gone.select(F.lit(EVENT), "key")), "kind", "key")
+            touched = with_maybe(past, news, ["kind", "key"]).where("__maybe").select(*COLUMNS, "status", "step")
+            woken = touched.groupBy(*REF_ID).agg(F.max_by(F.struct(*[c for c in COLUMNS if c not in REF_ID], "status"), "step").alias("r"))
+            todo = todo.unionByName(woken.select(*REF_ID, "r.kind", "r.key", "r.seen", "r.at", "r.late_rule", F.col("r.status").alias("before")))
+        todo = scratch.write(todo, "todo")
+        self._add("refs", self._judge(todo), k)
         self.steps += 1
-
-    def _judge(self, todo: DataFrame, k: int, hot: list) -> DataFrame:
-        """The status of each given reference against all that is known after batch ``k``."""
-        events = self._segments("events", EVENT_SCHEMA, k + 1)
-        gone = _deletions(events).withColumn("gone", F.lit(True))
-        state = events.select("key", "owner", F.col("seen").alias("came")).join(gone, ["key", "owner"], "left")
-        people = self._segments("people", PEOPLE_SCHEMA, k + 1)
-        nothing = [F.lit(None).cast("timestamp").alias("came"), F.lit(None).cast("boolean").alias("gone")]
-        # One composite key for both kinds, so that a hot author or event can be salted.
-        state = (
-            state.select(_probe(F.lit(EVENT)), "came", "gone")
-            .unionByName(people.select(_probe(F.lit(AUTHOR)), *nothing))
-            .withColumn("there", F.lit(True))
-        )
-        joined = salted_join(todo.withColumn("probe", _probe()), state, "probe", "left", hot, F.struct("rec", "pos"))
+        self.last_batch = k
+        if self.steps % self.compact_every == 0:
+            self._compact(k)
+        write_text(self.spark, f"{self.root}/commits/{k}", json.dumps({"steps": self.steps, "segments": self.segments}))
+        scratch.drop()
+
+    def _touched(self, name: str, keys: DataFrame) -> DataFrame:
+        """The rows of a table whose kind and key may be in a bitmap; those of no other key are left where they lie."""
+        rows = self._table(name)
+        if name == "gone":
+            rows = rows.withColumn("kind", F.lit(EVENT))
+        return with_maybe(rows, keys, ["kind", "key"]).where("__maybe").drop("__maybe")
+
+    def _judge(self, todo: DataFrame) -> DataFrame:
+        """The references (new ones and woken ones, hot keys in parts) whose status is new, against all that is known now."""
+        keys = bitmap(todo, "kind", "key")
+        gone = self._touched("gone", keys).select("key", "owner").distinct().select(F.lit(EVENT).alias("kind"), "key", "owner", F.lit(True).alias("gone"))
+        state = self._touched("parents", keys).join(gone, ["kind", "key", "owner"], "left").select("kind", "key", "came", "gone", F.lit(True).alias("there"))
+        joined = salted_join(todo, state, ["kind", "key"], "left", hot_keys(todo, ["kind", "key"], self.task_rows), F.struct("rec", "pos"))
         late = F.col("late_rule") & (F.unix_micros("came") - F.unix_micros("seen") > int(self.grace * 3_600_000_000))
         status = F.when(F.col("there").isNull(), "missing").when(F.col("gone"), "deleted").when(late, "late").otherwise("ok")
-        return joined.select(*COLUMNS, status.alias("status"), F.lit(k).alias("step"))
+        judged = joined.select(*COLUMNS, status.alias("status"), "before", F.lit(self.steps).cast("bigint").alias("step"))
+        return judged.where("before is null or status <> before")
+
+    def _compact(self, batch: int) -> None:
+        """Merge the segments of each table into one; the rows stay the same, and old segments stay for readers of old commits."""
+        for name in TABLES:
+            merged = self._table(name)
+            path = f"{name}/upto-{batch}"
+            pieces = max(1, merged.rdd.getNumPartitions() // 2)
+            merged.coalesce(pieces).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{path}")
+            self.segments[name] = [path]
 
     def current(self) -> DataFrame:
-        """Each reference with its status after the last step."""
+        """Each reference with its status after the last step.
+
+        References that never changed pass where they lie; only those with several rows are grouped.
+        """
         if self.steps < 2:
             return self.refs
-        last = self.refs.groupBy("tab", "rec", "pos").agg(F.max_by(F.struct("kind", "key", "at", "status", "step"), "step").alias("r"))
-        return last.select("tab", "rec", "pos", "r.*")
+        changed = self.refs.where("before is not null").select(*REF_ID)
+        split = with_maybe(self.refs, bitmap(changed, *REF_ID), REF_ID)
+        fields = ["kind", "key", "at", "status", "step"]
+        several = split.where("__maybe").groupBy(*REF_ID).agg(F.max_by(F.struct(*fields), "step").alias("r")).select(*REF_ID, "r.*")
+        return split.where("not __maybe").select(*REF_ID, *fields).unionByName(several)
 
     def open(self) -> DataFrame:
         """(tab, rec, pos, missing_key) of each open reference."""
         return self.current().where("status <> 'ok'").select("tab", unpack_key(F.col("rec")).alias("rec"), "pos", unpack_key(F.col("key")).alias("missing_key"))
 
-    def snapshots(self) -> DataFrame:
-        """Open references by table, day of the reference and status, as they stood after each step."""
-        spans = self.refs.groupBy("tab", "rec", "pos").agg(F.sort_array(F.collect_list(F.struct("step", "status", "at"))).alias("h"))
-        last_step = self.steps - 1
-        each = spans.select(
-            "tab",
-            F.inline(
-                F.transform(
-                    F.col("h"),
-                    lambda x, i: F.struct(x["at"].alias("at"), x["status"].alias("status"), x["step"].alias("a"),
-                                          F.coalesce(F.get(F.col("h"), i + 1)["step"] - 1, F.lit(last_step)).alias("b")),
-                )
-            ),
-        ).where("status <> 'ok'")
-        return (
-            each.select("tab", F.to_date("at").alias("day"), "status", F.explode(F.sequence("a", "b")).alias("step"))
-            .groupBy("step", "tab", "day", "status").agg(F.count("*").alias("n"))
-        )
+    def changes(self) -> DataFrame:
+        """(step, tab, day, status, n): by how much the open references of each table, day and status became more or fewer in each step."""
+        day = F.to_date("at").alias("day")
+        more = self.refs.where("status <> 'ok'").select("step", "tab", day, "status", F.lit(1).alias("d"))
+        fewer = self.refs.where("before <> 'ok'").select("step", "tab", day, F.col("before").alias("status"), F.lit(-1).alias("d"))
+        return more.unionByName(fewer).groupBy("step", "tab", "day", "status").agg(F.sum("d").alias("n")).where("n <> 0")
 
+    def snapshots(self, every: int = 1) -> DataFrame:
+        """Open references by table, day of the reference and status, as they stood after each ``every``-th step: running sums of :meth:`changes`."""
+        steps = F.collect_list(F.struct("step", "n")).alias("c")  # at most one entry a step
+        cells = self.changes().groupBy("tab", "day", "status").agg(F.sort_array(steps).alias("c"))
+        each = cells.withColumn("step", F.explode(F.sequence(F.lit(every - 1), F.lit(max(self.steps - 1, every - 1)), F.lit(every)).cast("array<bigint>")))
+        n = F.aggregate(F.filter("c", lambda x: x["step"] <= F.col("step")), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+        return each.select("step", "tab", "day", "status", n.alias("n")).where("n > 0")
 
-def track(events: DataFrame, reports: DataFrame | None = None, batches: int = 4, grace_hours: float = 24.0) -> OrphanTracker:
-    """Replay stored events through an :class:`OrphanTracker` in ``batches`` equal spans of arrival time."""
-    spark = events.sparkSession
-    tracker = OrphanTracker(spark, grace_hours)
-    lo, hi = events.agg(F.min(F.unix_micros(F.col("received_at").cast("timestamp"))), F.max(F.unix_micros(F.col("received_at").cast("timestamp")))).first()
-    lo, hi = lo or 0, hi or 0
+
+def part_of(at: Column, lo: int, hi: int, batches: int) -> Column:
+    """Which of ``batches`` equal spans of time from ``lo`` to ``hi`` (microseconds) a time lies in; null times are in the last."""
     width = max(1, -(-(hi - lo + 1) // batches))
+    when = F.coalesce(F.unix_micros(at.cast("timestamp")), F.lit(hi))
+    return F.least(F.greatest(F.floor((when - lo) / width), F.lit(0)), F.lit(batches - 1))
 
-    def part(at: Column) -> Column:
-        when = F.coalesce(F.unix_micros(at.cast("timestamp")), F.lit(hi))
-        return F.least(F.greatest(F.floor((when - lo) / width), F.lit(0)), F.lit(batches - 1))
 
+def track(events: DataFrame, reports: DataFrame | None = None, batches: int = 4, grace_hours: float = 24.0, **options) -> OrphanTracker:
+    """Replay stored events through an :class:`OrphanTracker` in ``batches`` equal spans of arrival time."""
+    tracker = OrphanTracker(events.sparkSession, grace_hours, **options)
+    at = F.unix_micros(F.col("received_at").cast("timestamp"))
+    lo, hi = events.agg(F.min(at), F.max(at)).first()
+    lo, hi = lo or 0, hi or 0
     for k in range(batches):
         tracker.step(
-            events.where(part(F.col("received_at")) == k),
-            None if reports is None else reports.where(part(F.col("found_at")) == k),
+            events.where(part_of(F.col("received_at"), lo, hi, batches) == k),
+            None if reports is None else reports.where(part_of(F.col("found_at"), lo, hi, batches) == k),
         )
     return tracker

@@ -3,6 +3,8 @@
 The token with the 1-based place i of a stream counts at depth d (0 to 7) if i is a multiple of 2^(7-d). A profile is
 eight rows, one a depth, each with its eight counts. Documents are counted where they lie: a document that
 starts after ``offset`` tokens picks its own places of each stride, so a corpus needs no token rows, only the running sum of token counts.
+Texts never move. What moves for a corpus over :data:`..plans.skew.BROADCAST_ROWS` documents is their streams of channel
+numbers (three bits a token before compression), once, to meet their offsets; for smaller ones the offsets are broadcast.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from ..session import Scratch
 
 DEPTHS = 8
 TRAIN_WINDOW = 50_000
-#: Neighbouring documents whose token counts are summed in one task.
+#: Neighbouring documents that are compared in one task.
 BLOCK = 100_000
 
 
@@ -53,17 +55,19 @@ def document_streams(docs: DataFrame, order: str, text: str, window: int | None
 def with_offsets(streams: DataFrame) -> DataFrame:
     """Adds ``offset``: the tokens of all documents before, in the order of ``file``."""
     sized = streams.select("file", F.size("stream").cast("bigint").alias("size"))
-    placed = exclusive_sum(sized.withColumn("block", F.expr(f"file div {BLOCK}")), [], "block", ["file"], {"offset": "size"})
+    placed = exclusive_sum(sized, [], ["file"], {"offset": "size"})
     return lookup(streams, placed.select("file", "offset"), "file", "inner")
 
 
 def sum_levels(counted: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Sum the ``levels`` of many documents to one row a depth: ([by,] depth, spatial)."""
     by = by or []
-    sums = [F.coalesce(F.sum(F.get(F.get("levels", F.lit(d)), F.lit(c))), F.lit(0)).alias(f"s{d}_{c}") for d in range(DEPTHS) for c in range(SIZE)]
-    wide = counted.groupBy(*by).agg(*sums) if by else counted.agg(*sums)
-    rows = F.array(*[F.struct(F.lit(d).alias("depth"), F.array(*[F.col(f"s{d}_{c}") for c in range(SIZE)]).alias("spatial")) for d in range(DEPTHS)])
-    return wide.select(*by, F.inline(rows))
+    # The generator makes sure that the levels of a document are counted once, not once for each of the 64 sums.
+    each = counted.select(*by, F.posexplode("levels").alias("depth", "c"))
+    wide = each.groupBy(*by, "depth").agg(*[F.sum(F.get("c", F.lit(c))).alias(f"s{c}") for c in range(SIZE)])
+    if not by:  # an empty corpus has all depths too
+        wide = counted.sparkSession.range(DEPTHS).select(F.col("id").cast("int").alias("depth")).join(wide, "depth", "left")
+    return wide.select(*by, "depth", F.array(*[F.coalesce(f"s{c}", F.lit(0)).cast("bigint") for c in range(SIZE)]).alias("spatial"))
 
 
 def with_spectrum(levels: DataFrame) -> DataFrame:
@@ -86,22 +90,28 @@ def train(docs: DataFrame, order: str, text: str, window: int | None = TRAIN_WIN
     return with_spectrum(sum_levels(counted.select("levels")))
 
 
-def convergence(counted: DataFrame, threshold: int = 100) -> DataFrame:
+def convergence(counted: DataFrame, threshold: int = 100, block: int = BLOCK) -> DataFrame:
     """(file, root, converged): the root's running counts, and whether the last 16 of them (8 at least) keep their shape.
 
     Each pair of neighbours c, p must have floor(max |c_k DC_p - p_k DC_c| / floor(DC_c DC_p / 1000)) <= threshold, with all divisors over 0.
     """
     roots = counted.select("file", F.get("levels", F.lit(0)).alias("root"))
     columns = [f"r{c}" for c in range(SIZE)]
-    wide = roots.select("file", *[F.get("root", F.lit(c)).alias(f"r{c}") for c in range(SIZE)]).withColumn("block", F.expr(f"file div {BLOCK}"))
-    wide = exclusive_sum(wide, [], "block", ["file"], {f"b{c}": c for c in columns})
-    running = wide.select("file", F.array(*[F.col(c) + F.col(f"b{c}") for c in columns]).alias("root")).withColumn("w", walsh(F.col("root")))
-    order = Window.orderBy("file")  # one short row a document
-    pair = running.withColumn("p", F.lag("w").over(order)).withColumn("rn", F.row_number().over(order))
+    wide = roots.select("file", F.lit(1).cast("bigint").alias("one"), *[F.get("root", F.lit(c)).alias(f"r{c}") for c in range(SIZE)])
+    wide = exclusive_sum(wide, [], ["file"], {"place": "one", **{f"b{c}": c for c in columns}})
+    running = wide.select("file", "place", F.array(*[F.col(c) + F.col(f"b{c}") for c in columns]).alias("root")).withColumn("w", walsh(F.col("root")))
+    # Blocks of neighbours; the last rows of each go to the next one too, as far as its windows look back.
+    back = 16
+    here = F.expr(f"place div {block}")
+    halo = F.when(F.col("place") % block >= block - back, F.array(here, here + 1)).otherwise(F.array(here))
+    spread = running.withColumn("block", F.explode(halo))
+    order = Window.partitionBy("block").orderBy("place")
+    pair = spread.withColumn("p", F.lag("w").over(order))
     exact = F.expr("array_max(transform(arrays_zip(w, p), x -> abs(x.w * p[0] - x.p * w[0]))) div nullif(w[0] * p[0] div 1000, 0)")
     close = F.coalesce((dc(F.col("w")) > 0) & (dc(F.col("p")) > 0) & (exact <= threshold), F.lit(False))
-    kept = F.min(F.when(F.col("rn") > 1, close.cast("int"))).over(order.rowsBetween(-14, 0))
-    return pair.select("file", "root", ((F.col("rn") >= 8) & (kept == 1)).alias("converged"))
+    kept = F.min(F.when(F.col("place") > 0, close.cast("int"))).over(order.rowsBetween(-14, 0))
+    judged = pair.select("file", "root", "block", "place", ((F.col("place") >= 7) & (kept == 1)).alias("converged"))
+    return judged.where(F.col("block") == here).select("file", "root", "converged")
 
 
 def fingerprint(docs: DataFrame, group: str, order: str, text: str, window: int | None = TRAIN_WINDOW, chunk_bytes: int | None = CHUNK_BYTES) -> DataFrame:
@@ -115,7 +125,7 @@ def fingerprint(docs: DataFrame, group: str, order: str, text: str, window: int
     rows = rows.withColumn("stream", F.concat("stream", F.array_repeat(F.lit(7).cast("tinyint"), F.col("extra"))))
     rows = Scratch(docs.sparkSession, "streams").write(rows, "streams")
     sized = rows.select("who", "file", F.size("stream").cast("bigint").alias("size"))
-    placed = exclusive_sum(sized.withColumn("block", F.expr(f"file div {BLOCK}")), ["who"], "block", ["file"], {"offset": "size"})
+    placed = exclusive_sum(sized, ["who"], ["file"], {"offset": "size"})
     counted = lookup(rows, placed.select("who", "file", "offset"), ["who", "file"], "inner").select("who", "extra", level_counts(F.col("stream"), F.col("offset")).alias("levels"))
     levels = with_spectrum(sum_levels(counted, ["who"]))
     origin = counted.groupBy("who").agg(F.sum("extra").alias("origin_tokens"))

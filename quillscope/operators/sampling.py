@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from ..plans.skew import exclusive_sum
 
 
-def every_kth(rows: DataFrame, order: str, n: int, block: int = 100_000) -> DataFrame:
+def every_kth(rows: DataFrame, order: str, n: int) -> DataFrame:
     """Every k-th row by the whole number ``order``, k = max(1, rows / n), until there are ``n``."""
     k = max(1, rows.count() // max(n, 1))
-    flat = rows.withColumn("__b", F.expr(f"`{order}` div {block}")).withColumn("__one", F.lit(1).cast("bigint"))
-    ranked = exclusive_sum(flat, [], "__b", [order], {"__i": "__one"})
-    return ranked.where(f"__i % {k} = 0 and __i div {k} < {n}").drop("__b", "__one", "__i")
+    ranked = exclusive_sum(rows.withColumn("__one", F.lit(1).cast("bigint")), [], [order], {"__i": "__one"})
+    return ranked.where(f"__i % {k} = 0 and __i div {k} < {n}").drop("__one", "__i")
 
 
 def per_group(rows: DataFrame, group: str, key: Column, n: int, seed: int = 42) -> DataFrame:

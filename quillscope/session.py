@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import zipfile
@@ -57,18 +58,46 @@ def scratch_root(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder shared by the executors")
     made = tempfile.mkdtemp(prefix="quillscope-")
     spark.conf.set("spark.checkpoint.dir", Path(made).as_uri())
     return Path(made).as_uri()
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if there is no such folder."""
+    target, fs = _file_system(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file of the shared folder as text."""
+    return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file so that it is there whole or not at all."""
+    part, fs = _file_system(spark, path.rpartition("/")[0] + "/." + path.rpartition("/")[2])
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    target, _ = _file_system(spark, path)
+    if fs.exists(target):
+        fs.delete(target, False)
+    if not fs.rename(part, target):
+        raise OSError(f"{path} could not be written")
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        target, fs = _file_system(spark, path)
+        fs.delete(target, True)
     except Exception:  # the session may be gone already
         pass
 
@@ -85,6 +114,10 @@ class Scratch:
         self.root = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, self.root)
 
+    def drop(self) -> None:
+        """Free the space now; nothing may read these tables any more."""
+        _remove(self.spark, self.root)
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 

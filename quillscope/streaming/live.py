@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.events import long_enough, normal_url
+from ..functions.keys import norm_key
 from ..operators.detect import Model, detect, triggered
 from ..operators.orphans import OrphanTracker
 
@@ -20,7 +21,7 @@ def with_time(stream: DataFrame, late: str = "1 hour") -> DataFrame:
 
 def once(stream: DataFrame) -> DataFrame:
     """Each id once within the watermark."""
-    return stream.withColumn("id", F.lower(F.trim("id"))).dropDuplicatesWithinWatermark(["id"])
+    return stream.withColumn("id", norm_key(F.col("id"))).dropDuplicatesWithinWatermark(["id"])
 
 
 def watch(stream: DataFrame, model: Model, troll: Model | None = None, least: int = 50, own_sign: str | None = None, threshold: float = 0.5, troll_threshold: float = 0.05, window: int = 500) -> DataFrame:
@@ -85,8 +86,8 @@ def limit_rate(stream: DataFrame, by: str, per_minute: int = 6) -> DataFrame:
 
 
 def track_orphans(tracker: OrphanTracker) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that keeps the state of open references."""
-    def run(batch: DataFrame, _: int) -> None:
-        tracker.step(batch)
+    """A ``foreachBatch`` function that keeps the state of open references; give the tracker a ``root`` for a stream that may restart."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        tracker.step(batch, batch_id=batch_id)
 
     return run

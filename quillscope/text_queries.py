@@ -48,22 +48,26 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(load(spark, sf_dir, "documents"))
 
 
+def _some_text(docs: DataFrame) -> DataFrame:
+    """Documents with any token: every byte belongs to one. A filter on counts would make the scan count them twice."""
+    return docs.where("octet_length(text) > 0")
+
+
 @REGISTRY.add(f"WITH {TOKENS} SELECT doc_id, {_NAMED} FROM tok GROUP BY doc_id")
 def channel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each channel of each document with any token."""
-    counts = _docs(spark, sf_dir).select("doc_id", prof.pick_counts(tok.channels(F.col("text"))).alias("c"))
-    named = counts.select("doc_id", *[F.get("c", F.lit(i)).alias(n) for i, n in enumerate(tok.CHANNELS)])
-    return named.where(" + ".join(tok.CHANNELS) + " > 0")
+    counts = _some_text(_docs(spark, sf_dir)).select("doc_id", prof.pick_counts(tok.channels(F.col("text"))).alias("c"))
+    return counts.select("doc_id", *[F.get("c", F.lit(i)).alias(n) for i, n in enumerate(tok.CHANNELS)])
 
 
 @REGISTRY.add(f"""WITH {TOKENS} SELECT doc_id, count(*) AS n_tokens, round(avg((ch = 5)::INT), 6) AS punct_ratio, round(avg((ch IN (3, 4))::INT), 6) AS long_word_ratio
 FROM tok WHERE pos <= 500 GROUP BY doc_id""")
 def token_window_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of the first 500 tokens."""
-    counts = _docs(spark, sf_dir).select("doc_id", prof.pick_counts(tok.channels(F.col("text"), most=500)).alias("c"))
+    counts = _some_text(_docs(spark, sf_dir)).select("doc_id", prof.pick_counts(tok.channels(F.col("text"), most=500)).alias("c"))
     n = F.aggregate("c", F.lit(0).cast("bigint"), lambda a, x: a + x)
     c = [F.get("c", F.lit(i)) for i in range(8)]
-    return counts.withColumn("n_tokens", n).where("n_tokens > 0").select("doc_id", "n_tokens", F.round(c[5] / F.col("n_tokens"), 6).alias("punct_ratio"), F.round((c[3] + c[4]) / F.col("n_tokens"), 6).alias("long_word_ratio"))
+    return counts.withColumn("n_tokens", n).select("doc_id", "n_tokens", F.round(c[5] / F.col("n_tokens"), 6).alias("punct_ratio"), F.round((c[3] + c[4]) / F.col("n_tokens"), 6).alias("long_word_ratio"))
 
 
 @REGISTRY.add(f"""WITH {TOKENS} SELECT t.t AS token_hex, CASE ch {" ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(tok.CHANNELS))} END AS tag, count(*) AS n
@@ -90,7 +94,7 @@ def multiscale_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, {", ".join(f"{e} AS k{k}" for k, e in enumerate(_walsh_sql("c")))}, {"+".join(f"abs({e})" for e in _walsh_sql("c")[1:])} AS detail FROM c""")
 def walsh_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spectrum of each document's counts, and its detail."""
-    w = _docs(spark, sf_dir).select("doc_id", vec.walsh(prof.pick_counts(tok.channels(F.col("text")))).alias("w")).where(vec.dc(F.col("w")) > 0)
+    w = _some_text(_docs(spark, sf_dir)).select("doc_id", vec.walsh(prof.pick_counts(tok.channels(F.col("text")))).alias("w"))
     return w.select("doc_id", *[F.get("w", F.lit(k)).alias(f"k{k}") for k in range(8)], vec.detail_energy(F.col("w")).alias("detail"))
 
 

@@ -69,10 +69,28 @@ def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracker.current().where("status <> 'ok'").groupBy("tab", day, "status").agg(F.count("*").alias("n_open"))
 
 
-@REGISTRY.add()
+BATCHES = 4
+
+
+def _snapshot_sql() -> str:
+    """What is open among the events and reports of the first spans of arrival time, for each number of spans."""
+    span = f"least(greatest((epoch_us({{}}) - lo) // ((hi - lo + {BATCHES}) // {BATCHES}), 0), {BATCHES - 1})"
+    ends = "(SELECT min(epoch_us(received_at)) AS lo, max(epoch_us(received_at)) AS hi FROM nostr_event)"
+    parts = []
+    for k in range(BATCHES):
+        text = _OPEN_REFS
+        for table, column in (("nostr_event", "received_at"), ("orphan", "found_at")):
+            text = text.replace(f"FROM {table} ", f"FROM (SELECT t.* FROM {table} t, {ends} WHERE coalesce({span.format(column)}, {BATCHES - 1}) <= {k}) ")
+        counted = text + "SELECT tab, strftime(seen AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, status, count(*) AS n FROM open_ref GROUP BY ALL"
+        parts.append(f"SELECT {k}::BIGINT AS step, * FROM ({counted})")
+    return "\nUNION ALL\n".join(parts)
+
+
+@REGISTRY.add(_snapshot_sql())
 def p1_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open references as they stood after each batch."""
-    return track(load(spark, sf_dir, "nostr_event"), load(spark, sf_dir, "orphan")).snapshots()
+    tracker = track(load(spark, sf_dir, "nostr_event"), load(spark, sf_dir, "orphan"), BATCHES)
+    return tracker.snapshots().withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 _RANKED = f"""

@@ -35,3 +35,20 @@ def test_hot_identifier(spark):
     df = spark.range(30_000).select(F.col("id").alias("n"), F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("id"), (30_000 - F.col("id")).cast("int").alias("at"))
     kept, dropped = exactly_once(df, F.col("id"), [F.col("at")])
     assert kept.count() == 15_001 and dropped.count() == 14_999 and kept.where("id = 'hot'").first()["n"] == 29_998
+
+
+def test_many_middling_hot_identifiers(spark):
+    df = spark.range(40_000).select(F.col("id").alias("n"), (F.col("id") % 100).cast("string").alias("id"), F.lit(1).alias("at"))
+    kept, dropped = exactly_once(df, F.col("id"), [F.col("at"), F.col("n")], task_rows=150)
+    assert sorted(r["n"] for r in kept.collect()) == list(range(100)) and dropped.count() == 39_900
+
+
+def test_singletons_pass_without_a_shuffle(spark):
+    df = spark.range(100).select(F.col("id").alias("n"), F.col("id").cast("string").alias("id"), F.lit("long text").alias("body"))
+    plan = exactly_once(df, F.col("id"), [F.col("n")])[0]._jdf.queryExecution().toString()
+    singles = plan[plan.index("== Physical Plan") :].split("Union")[1]
+    assert kept_rows(df) == 100 and "hashpartitioning(__key" in singles
+
+
+def kept_rows(df):
+    return exactly_once(df, F.col("id"), [F.col("n")])[0].count()

@@ -54,3 +54,59 @@ def test_hot_author(spark):
 
 def test_empty(spark):
     assert found(track(events(spark).limit(0), spark.createDataFrame([], REPORTS), 2)) == []
+
+
+def test_restart_goes_on_and_skips_what_was_committed(spark, tmp_path):
+    root = (tmp_path / "state").as_uri()
+    first = events(spark, ev("a", "u", 0, ("e", "b"), ("e", "c")))
+    OrphanTracker(spark, root=root).step(first, batch_id=7)
+    again = OrphanTracker(spark, root=root)
+    assert (again.steps, again.last_batch) == (1, 7)
+    again.step(first, batch_id=7)
+    assert again.steps == 1 and len(found(again)) == 2
+    # A batch that broke off before its commit leaves segments that the next try overwrites.
+    broken = OrphanTracker(spark, root=root)
+    broken._add("parents", events(spark, ev("zz", "u", 0)).selectExpr("'e' kind", "cast('junk' as binary) key", "cast(null as binary) owner", "received_at came"), 8)
+    again = OrphanTracker(spark, root=root)
+    again.step(events(spark, ev("b", "u", 1)), batch_id=8)
+    assert found(again) == [("nostr_event", "a", 1, "c")] and again._table("parents").where("key = cast('junk' as binary)").count() == 0
+    assert found(OrphanTracker(spark, root=root)) == found(again)
+
+
+def test_compaction_and_many_steps(spark):
+    t, plain = OrphanTracker(spark, compact_every=2), OrphanTracker(spark)
+    for k in range(5):
+        rows = events(spark, ev(f"n{k}", "u", k, ("e", f"n{k + 1}"), ("e", f"n{k - 1}"), ("p", f"p{k}")), ev(f"p{k - 2}", f"p{k - 2}", k))
+        t.step(rows)
+        plain.step(rows)
+    assert found(t) == found(plain) and [len(x) for x in t.segments.values()] == [2, 2, 2] and sorted(map(str, t.snapshots().collect())) == sorted(map(str, plain.snapshots().collect()))
+    assert {r["step"] for r in t.snapshots(2).collect()} == {1, 3}
+
+
+def test_hot_woken_references_are_spread(spark):
+    t = OrphanTracker(spark, task_rows=200)
+    t.step(events(spark, *[ev(f"e{i}", "u", 1, ("e", "late")) for i in range(3_000)]))
+    assert t.open().count() == 3_000
+    t.step(events(spark, ev("late", "w", 2)))
+    assert t.open().count() == 0
+    t.step(events(spark, ev("del", "w", 3, ("e", "late"), kind=5)))
+    assert t.open().count() == 3_000 and {r["n"] for r in t.snapshots().collect()} == {3_000}
+
+
+def test_a_step_shuffles_what_its_batch_touches(spark):
+    def moved(t, rows):
+        spark.sparkContext._jvm.System.gc()
+        before = shuffled(spark)
+        t.step(rows)
+        return shuffled(spark) - before
+
+    t = OrphanTracker(spark)
+    t.step(events(spark, *[ev(f"a{i}", f"u{i}", i % 50, ("e", f"b{i}"), ("p", f"u{i + 1}")) for i in range(4_000)]))
+    sizes = [moved(t, events(spark, *[ev(f"s{k}-{i}", f"u{i}", 60 + k, ("e", f"a{i}")) for i in range(50)])) for k in range(4)]
+    assert max(sizes) < 1_000  # the state holds 8,000 references and as many parents
+
+
+def shuffled(spark):
+    """Rows that all stages so far have written to shuffles."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))

@@ -108,3 +108,20 @@ def test_probe(spark):
     counts = longs([0, 200, 160, 0, 0, 0, 100, 0])
     assert one(spark, det.probe_channel(counts, F.lit(1)))["bonded"] and not one(spark, det.probe_channel(counts, F.lit(0)))["bonded"]
     assert tuple(one(spark, det.probe_channel(counts, F.lit(9)))) == (False, 8)
+
+
+def test_convergence_is_the_same_in_small_blocks(spark):
+    texts = [text(*["w2", "punct", "w3", "punct"] * (300 + 7 * (i % 5))) for i in range(60)] + [text(*["w4", "space"] * 4000)] + [text(*["w2", "punct", "w3", "punct"] * 500)] * 40
+    docs = spark.createDataFrame([(i * 1_000_003_000_000, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    placed = prof.with_offsets(prof.document_streams(docs, "doc_id", "text", chunk_bytes=None))
+    counted = placed.select("file", prof.level_counts(F.col("stream"), F.col("offset")).alias("levels"))
+    whole, cut = ([tuple(r) for r in prof.convergence(counted, block=n).select("file", "converged").orderBy("file").collect()] for n in (100_000, 20))
+    assert whole == cut and len(cut) == 101 and len({c for _, c in cut}) == 2
+
+
+def test_text_is_tokenised_once_in_each_plan(spark):
+    from quillscope import text_queries as tq
+
+    for name in ("channel_counts", "token_window_features", "walsh_levels", "multiscale_counts"):
+        plan = getattr(tq, name)(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("coalesce(text") == 1, name
