@@ -2,12 +2,14 @@
 
 1. A model of hashed letter n-grams (of 3 and 5, within words) is fitted on a bounded sample of labelled texts,
    with the share ``train_rows`` a language. Labels may be wrong: after the first fit, each sentence of the sample is
-   given to the language the model finds likeliest, and the model is fitted again.
+   given to the language the model finds likeliest, and the model is fitted again. The executors count, and
+   only the sums (5 MB, whatever the sample) reach the driver.
 2. A text is cut into sentences (longer runs into pieces of 8 words). Links, mentions and tags are left out, and a word counts
    once a text, so that loops weigh no more than what they repeat.
 3. Expectation-maximisation estimates the shares of the languages in each text from the likelihoods of its
-   sentences. Then languages are taken away, the weakest first, while the loss of log-likelihood is less than the
-   penalty of a language; at least one stays.
+   sentences. The set of languages is chosen by penalised likelihood of the mixture, log L(set) - languages x penalty x
+   (1 + log sentences): from the full set, the language whose loss is least is taken away, and the shares of the
+   others are estimated again, as long as the penalised likelihood rises; at least one stays.
 4. Sentences get the likeliest of the languages left; neighbours with the same language are a segment.
 
 All texts of an Arrow batch are handled at once in arrays; no state is kept between rows.
@@ -23,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .quality import is_no_prose, statistics
+from ..session import Scratch, ship
+from .quality import is_no_prose
 
 LANGUAGES = ["de", "en", "es", "fr", "it", "nl", "pt", "ru"]
 # Other names of the languages in labels.
@@ -38,8 +40,10 @@ TRAIN_ROWS = 2_000
 LEAST_WORDS = 3
 #: The most by which one word may speak for a language.
 WORD_LIMIT = 12.0
-#: Loss of log-likelihood that is put up with to name a language less.
-PENALTY = 30.0
+#: Loss of log-likelihood that is put up with to name a language less, in a text of one sentence; grows with the log of their number.
+PENALTY = 15.0
+#: Tasks that count the sample.
+FIT_TASKS = 8
 BITS3, BITS5 = 15, 17
 #: Characters handled at once.
 BATCH_CHARS = 1 << 20
@@ -126,24 +130,23 @@ class LanguageModel:
     def __init__(self, t3: np.ndarray, t5: np.ndarray):
         self.t3, self.t5 = t3, t5
 
+    @classmethod
+    def from_counts(cls, counts: np.ndarray) -> LanguageModel:
+        """From the counts of n-grams by language, those of 3 first."""
+        n = len(LANGUAGES)
+        c3, c5 = counts[: n << BITS3].reshape(-1, n), counts[n << BITS3 :].reshape(-1, n)
+        return cls(cls._table(c3.astype(float)), cls._table(c5.astype(float)))
+
     @classmethod
     def fit(cls, texts: list[str], labels: list[str], rounds: int = 3) -> LanguageModel:
-        b = _Batch(texts)
-        truth = np.array([LANGUAGES.index(x) for x in labels], np.int64)
-        sizes = np.diff(np.append(b.word_first, len(b.at)))
-        unit = truth[b.unit_text]
-        weight = np.repeat(b.fresh, sizes)
-        for k in range(rounds):
-            lang = np.repeat(unit[b.unit_of_word], sizes)[weight]
-            model = cls(cls._table(b.h3[weight], lang, BITS3), cls._table(b.h5[weight], lang, BITS5))
-            if k < rounds - 1:
-                unit = model.units(b)[1].argmax(axis=1)
+        """On the texts of one process."""
+        model, truth = None, np.array([LANGUAGES.index(x) for x in labels], np.int64)
+        for _ in range(rounds):
+            model = cls.from_counts(count_grams(_Batch(texts), truth, model))
         return model
 
     @staticmethod
-    def _table(h: np.ndarray, lang: np.ndarray, bits: int) -> np.ndarray:
-        n = len(LANGUAGES)
-        counts = np.bincount(h * n + lang, minlength=n << bits).reshape(1 << bits, n).astype(float)
+    def _table(counts: np.ndarray) -> np.ndarray:
         total = np.maximum(counts.sum(axis=0), 1)
         rate = counts / total * total.mean() + 0.3  # as if all languages had the same amount of text
         logs = np.log(rate)
@@ -185,25 +188,12 @@ class LanguageModel:
                 share = sums(post(share) * seen[:, None]) / total[:, None]
             return share
 
-        allowed = np.ones((n, k), bool)
         share = em(np.full((n, k), 1 / k), 12)
         allowed = share > 1e-6
         allowed[np.arange(n), share.argmax(axis=1)] = True
-        for _ in range(k - 1):
-            masked = np.where(allowed[doc], ll, -np.inf)
-            best = masked.argmax(axis=1)
-            top = masked.max(axis=1)
-            other = masked.copy()
-            other[np.arange(len(doc)), best] = -np.inf
-            second = other.max(axis=1)
-            loss = np.bincount(doc * k + best, np.where(np.isfinite(second), top - second, 0), n * k).reshape(n, k)
-            loss = np.where(allowed, loss, np.inf)
-            weakest = loss.argmin(axis=1)
-            drop = (allowed.sum(axis=1) > 1) & (loss[np.arange(n), weakest] < penalty)
-            if not drop.any():
-                break
-            allowed[np.flatnonzero(drop), weakest[drop]] = False
-        share = em(np.where(allowed, np.maximum(share, 1e-3), 0) / np.maximum(np.where(allowed, np.maximum(share, 1e-3), 0).sum(axis=1, keepdims=True), 1e-9), 6)
+        share = np.where(allowed, share, 0)
+        share = _select(ll, doc, seen, share, allowed, penalty)
+        allowed &= share > 0
         chosen = post(np.where(allowed, share, 0), whole)  # what a sentence repeats still tells its language
         # Confidence: the posterior among all languages, each sentence's likelihood taken by the word.
         free = whole / np.sqrt(np.bincount(b.unit_of_word, minlength=len(doc)))[:, None] if len(doc) else whole
@@ -233,11 +223,89 @@ class LanguageModel:
         return out
 
 
-def fit_model(labelled: DataFrame, text: Column, label: Column, train_rows: int = TRAIN_ROWS, seed: int = 3) -> LanguageModel:
-    """Fit on about ``train_rows`` texts a language, chosen by hash; rows of no known label are not used.
+def _select(ll: np.ndarray, doc: np.ndarray, seen: np.ndarray, share: np.ndarray, allowed: np.ndarray, penalty: float) -> np.ndarray:
+    """The shares of each text's languages after those are taken away whose loss of mixture log-likelihood is below the penalty.
 
-    The number of rows collected is bounded by ``1.5 * train_rows`` for each of the eight languages.
+    ``ll``: log-likelihood of each sentence (of text ``doc``) by language; ``seen``: its new words. Texts of one language left are done.
     """
+    share, allowed = share.copy(), allowed.copy()
+    n, k = share.shape
+    price = penalty * (1 + np.log(np.maximum(np.bincount(doc, minlength=n), 1)))
+    while True:
+        open_docs = np.flatnonzero(allowed.sum(axis=1) > 1)
+        if not len(open_docs):
+            return share
+        place = np.full(n, -1, np.int64)
+        place[open_docs] = np.arange(len(open_docs))
+        rows = np.flatnonzero(place[doc] >= 0)
+        own, part, w = ll[rows], place[doc[rows]], seen[rows]
+        total, m = np.maximum(np.bincount(part, w, len(open_docs)), 1e-9), len(open_docs)
+
+        def refine(s: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+            """Shares after some steps of expectation-maximisation, and the log-likelihood of each text's mixture."""
+            for step in range(steps + 1):
+                z = own + np.where(s > 0, np.log(np.maximum(s, 1e-300)), -np.inf)[part]
+                top = z.max(axis=1, keepdims=True)
+                e = np.exp(z - top)
+                mass = e.sum(axis=1, keepdims=True)
+                if step == steps:
+                    return s, np.bincount(part, (top + np.log(mass))[:, 0], m)
+                s = np.stack([np.bincount(part, e[:, j] / mass[:, 0] * w, m) for j in range(k)], axis=1) / total[:, None]
+
+        # A share that has come down to nothing is gone; while a set is refined no language comes back.
+        now, whole = refine(np.where(allowed[open_docs], share[open_docs], 0), 4)
+        now = np.where(now > 1e-9, now, 0)
+        loss, without = np.full((m, k), np.inf), {}
+        for j in range(k):
+            if not allowed[open_docs, j].any():
+                continue
+            s = now.copy()
+            s[:, j] = 0
+            rest = s.sum(axis=1, keepdims=True)
+            flat = (now > 0).astype(float)
+            flat[:, j] = 0
+            s = np.where(rest > 1e-9, s / np.maximum(rest, 1e-9), flat / np.maximum(flat.sum(axis=1, keepdims=True), 1))
+            without[j], reached = refine(0.99 * s + 0.01 * flat / np.maximum(flat.sum(axis=1, keepdims=True), 1), 4)
+            loss[:, j] = np.where(allowed[open_docs, j] & (now[:, j] > 0) & (flat.sum(axis=1) > 0), whole - reached, np.inf)
+        weakest = loss.argmin(axis=1)
+        drop = loss[np.arange(m), weakest] < price[open_docs]
+        share[open_docs] = now
+        for i in np.flatnonzero(drop):
+            share[open_docs[i]] = without[weakest[i]][i]
+            share[open_docs[i], weakest[i]] = 0
+            allowed[open_docs[i], weakest[i]] = False
+        # Sets that cannot be made smaller are settled.
+        allowed[open_docs[~drop]] = False
+
+
+def count_grams(b: _Batch, truth: np.ndarray, model: LanguageModel | None) -> np.ndarray:
+    """Counts of the n-grams of all texts by language: by the texts' labels, or by the likeliest language of each sentence."""
+    n = len(LANGUAGES)
+    sizes = np.diff(np.append(b.word_first, len(b.at)))
+    unit = truth[b.unit_text] if model is None else model.units(b)[1].argmax(axis=1)
+    weight = np.repeat(b.fresh, sizes)
+    lang = np.repeat(unit[b.unit_of_word], sizes)[weight]
+    return np.concatenate([np.bincount(h[weight] * n + lang, minlength=n << bits) for h, bits in ((b.h3, BITS3), (b.h5, BITS5))]).astype(np.int64)
+
+
+def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about :data:`BATCH_CHARS` characters."""
+    lo, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= BATCH_CHARS or i == len(texts) - 1:
+            yield lo, i + 1
+            lo, size = i + 1, 0
+
+
+def fit_model(labelled: DataFrame, text: Column, label: Column, train_rows: int = TRAIN_ROWS, seed: int = 3, rounds: int = 3) -> LanguageModel:
+    """Fit on about ``train_rows`` different texts a language, chosen by hash; rows of no known label are not used.
+
+    The sample is written and stays with the executors: they count its n-grams, slices of the counts are summed by shuffle,
+    and 64 of them (5 MB in all) come to the driver in each round.
+    """
+    spark = labelled.sparkSession
+    ship(spark)
     rows = labelled.select(text.alias("text"), normal_label(label).alias("lang")).where("lang is not null and length(text) between 40 and 20000")
     rows = rows.withColumn("u", F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -246,9 +314,38 @@ def fit_model(labelled: DataFrame, text: Column, label: Column, train_rows: int
     test = F.lit(False)
     for lang, count in counts.items():
         test = test | ((F.col("lang") == lang) & (F.col("u") < int(min(1.0, train_rows / count) * (1 << 30))))
-    rows = rows.where(test).where(~is_no_prose(statistics(F.col("text"), every=False)))
-    sample = rows.orderBy("u", "text").limit(int(train_rows * 1.5) * len(LANGUAGES)).select("text", "lang").toPandas()
-    return LanguageModel.fit(sample["text"].tolist(), sample["lang"].tolist())
+    few = rows.where(test).groupBy("text").agg(F.min("lang").alias("lang")).repartition(FIT_TASKS)
+    scratch = Scratch(spark, "language")
+    sample = scratch.write(few.where(~is_no_prose(F.col("text"))), "sample").repartition(FIT_TASKS)
+    model: LanguageModel | None = None
+    for _ in range(rounds):
+        model = LanguageModel.from_counts(_summed(sample, model))
+    scratch.drop()
+    return model
+
+
+def _summed(sample: DataFrame, model: LanguageModel | None, slices: int = 64) -> np.ndarray:
+    """The counts of :func:`count_grams` over a table of (text, lang)."""
+    size = len(LANGUAGES) * ((1 << BITS3) + (1 << BITS5))
+    width = -(-size // slices)
+    shared = None if model is None else sample.sparkSession.sparkContext.broadcast((model.t3, model.t5))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, total = None if shared is None else LanguageModel(*shared.value), np.zeros(size, np.int64)
+        for batch in batches:
+            texts, truth = batch.column("text").to_pylist(), np.array([LANGUAGES.index(x) for x in batch.column("lang").to_pylist()], np.int64)
+            for lo, hi in _slices(texts):
+                total += count_grams(_Batch(texts[lo:hi]), truth[lo:hi], own)
+        parts = [total[i : i + width].astype(np.int32).tobytes() for i in range(0, size, width)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in table.column("counts").to_pylist())
+        return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([total.astype(np.int32).tobytes()], pa.binary())})
+
+    summed = sample.mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary")
+    parts = sorted((r["part"], bytes(r["counts"])) for r in summed.collect())
+    return np.concatenate([np.frombuffer(x, np.int32) for _, x in parts]).astype(np.int64)
 
 
 def infer_languages(records: DataFrame, keys: dict[str, Column], text: Column, model: LanguageModel, penalty: float = PENALTY) -> DataFrame:
@@ -269,15 +366,11 @@ def infer_languages(records: DataFrame, keys: dict[str, Column], text: Column, m
         own = LanguageModel(*shared.value)
         for batch in batches:
             texts = [t or "" for t in batch.column(len(names)).to_pylist()]
-            lo, size = 0, 0
-            for i, t in enumerate(texts):
-                size += len(t)
-                if size >= BATCH_CHARS or i == len(texts) - 1:
-                    got = own.infer(texts[lo : i + 1], penalty)
-                    keys_part = [batch.column(j).slice(lo, i + 1 - lo) for j in range(len(names))]
-                    segments = [[{f: s[f] for f in ("start", "end", "lang", "confidence")} for s in g["segments"]] for g in got]
-                    arrays = [*keys_part, pa.array([g["langs"] for g in got], pa.list_(pa.string())), pa.array([g["shares"] for g in got], pa.list_(pa.float64())), pa.array([g["confidence"] for g in got], pa.float64()), pa.array(segments, pa.list_(segment))]
-                    yield pa.RecordBatch.from_arrays(arrays, names=[*names, "langs", "shares", "confidence", "segments"])
-                    lo, size = i + 1, 0
+            for lo, hi in _slices(texts):
+                got = own.infer(texts[lo:hi], penalty)
+                keys_part = [batch.column(j).slice(lo, hi - lo) for j in range(len(names))]
+                segments = [[{f: s[f] for f in ("start", "end", "lang", "confidence")} for s in g["segments"]] for g in got]
+                arrays = [*keys_part, pa.array([g["langs"] for g in got], pa.list_(pa.string())), pa.array([g["shares"] for g in got], pa.list_(pa.float64())), pa.array([g["confidence"] for g in got], pa.float64()), pa.array(segments, pa.list_(segment))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*names, "langs", "shares", "confidence", "segments"])
 
     return rows.mapInArrow(run, f"{types}, langs array<string>, shares array<double>, confidence double, segments array<struct<start: int, end: int, lang: string, confidence: double>>")

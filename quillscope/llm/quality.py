@@ -1,6 +1,7 @@
 """Statistics of each text, and whether it is natural prose or a list, table or junk.
 
-Everything is one projection of built-in functions: no user function, no shuffle.
+Everything is one projection of built-in functions: no user function, no shuffle. Two tables of thresholds decide, both
+compiled into that projection: :data:`LINE_RULES` says which lines are structured, :data:`RULES` says for which reasons a text fails.
 
 A line is *structured* if it is an entry of a list (a bullet or number before a few words that end no
 sentence), a pair of key and value, code, mostly digits, signs, links, tags or one long token, a row of
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rules import Rule, any_of, bind, failures, words
+from .rules import CHARS, LINE_BREAKS, Rule, bind, count_chars, fails, measured, words
 
 # Frequent function words of each language.
 COMMON = {
@@ -33,116 +34,138 @@ _PAIR = r"^[^\p{L}\p{N}\s]?[\p{L}\p{N}_.-]+\"?\s*(?:=|->|:)\s*\S+$"
 _CODE = r"(?<=[\p{L}\p{N}_])\(|[{}]|[)\]\p{N}\"];\s*$|:=|==|\"\s*:|</?[a-zA-Z]+>"
 _SEPARATOR = r"(?<=\s)[·•|/»›>~–—:,;*-]+(?=\s)"
 _END = r"[.!?…。！？][\"”»')\]]*\s*$"
-_LINES = r"[\r\n\x{85}\x{2028}\x{2029}]+"
 _SPACES = r"(?:[^\S ]|[\x{A0}\x{2000}-\x{200B}\x{3000}]|  )\s*"
 #: A line of many common words without any of these needs no further test.
 _SUSPECT = r"[{}()<>=|;:/\\·•»›\[\]#@_]|\S{26}"
 
-#: Published fixed thresholds (rules of the kind used for large web corpora) and the share of prose.
+#: Publications of the thresholds. Gopher: Rae et al. 2021, "Scaling Language Models", appendix A.1. FineWeb: Penedo et al. 2024. C4: Raffel et al. 2020.
+GOPHER, FINEWEB, C4, OWN = "Gopher", "FineWeb", "C4", "this project"
+
+#: When a line is structured. All are this project's own: the definition of the cases is by characters in sentences, which no published set has.
+LINE_RULES: list[Rule] = [
+    Rule("entry of a list", "entry_words", "<=", 6, OWN),
+    Rule("digits", "digit_share", ">", 0.15, OWN, ("varied", 1)),
+    Rule("symbols", "symbol_share", ">", 0.3, OWN),
+    Rule("links and tags", "linkless_share", "<", 0.5, OWN),
+    Rule("separated entries", "separators_a_word", ">", 0.25, OWN),
+    Rule("pair of key and value", "pair", ">=", 1, OWN),
+    Rule("code", "code", ">=", 1, OWN),
+    Rule("no common words", "common_share", "<", 0.06, OWN, ("varied_words", 12)),
+]
+
+#: For which reasons a text fails. The last one makes a case of p3_found.
 RULES: list[Rule] = [
-    ("few words", "n_words", "<", 5),
-    ("short words", "mean_word_length", "<", 2),
-    ("long words", "mean_word_length", ">", 10),
-    ("symbols", "symbol_share", ">", 0.1),
-    ("words without letters", "alpha_word_share", "<", 0.8),
-    ("bullets", "bullet_line_share", ">", 0.9),
-    ("lines without end", "end_line_share", "<", 0.12),
-    ("ellipses", "ellipsis_line_share", ">", 0.3),
-    ("few common words", "common_word_share", "<", 0.06),
-    ("no prose", "prose_share", "<", 0.5),
+    Rule("few words", "n_words", "<", 50, GOPHER),
+    Rule("many words", "n_words", ">", 100_000, GOPHER),
+    Rule("short words", "mean_word_length", "<", 3, GOPHER),
+    Rule("long words", "mean_word_length", ">", 10, GOPHER),
+    Rule("hashes and ellipses", "mark_word_ratio", ">", 0.1, GOPHER),
+    Rule("words without letters", "alpha_word_share", "<", 0.8, GOPHER),
+    Rule("bullets", "bullet_line_share", ">", 0.9, GOPHER),
+    Rule("ellipses", "ellipsis_line_share", ">", 0.3, GOPHER),
+    Rule("few common words", "n_common_words", "<", 2, GOPHER),
+    Rule("lines without end", "end_line_share", "<=", 0.12, FINEWEB),
+    Rule("short lines", "short_line_share", ">=", 0.67, FINEWEB),
+    Rule("curly bracket", "n_braces", ">=", 1, C4),
+    Rule("no prose", "prose_share", "<", 0.5, OWN, ("n_chars", 80)),
+]
+NO_PROSE = RULES[-1].reason
+NAMES = [
+    "n_chars", "n_words", "mean_word_length", "symbol_share", "mark_word_ratio", "alpha_word_share", "n_lines", "end_line_share", "bullet_line_share",
+    "ellipsis_line_share", "short_line_share", "n_common_words", "common_word_share", "n_braces", "prose_share",
 ]
 
 
-def _common(w: Column) -> Column:
+def common_words(w: Column) -> Column:
+    """How many of the words are common ones of any language."""
     return F.size(F.filter(w, lambda x: x.isin(sorted({y for v in COMMON.values() for y in v.split()}))))
 
 
-def _count(text: Column, pattern: str) -> Column:
-    """Characters of the text that are in a class, given the pattern of all others."""
-    return F.length(F.regexp_replace(text, pattern, ""))
-
-
 def _lines(text: Column) -> Column:
-    """Each line with what it takes to judge it."""
-    cut = F.transform(F.split(text, _LINES), lambda x: F.struct(F.length(x).alias("n"), x.alias("raw"), F.regexp_replace(x, _MARK, "").alias("body")))
+    """Each line with what the statistics of the text need of it."""
+    cut = F.transform(F.split(text, LINE_BREAKS), lambda x: F.struct(F.length(x).alias("n"), x.alias("raw"), F.regexp_replace(x, _MARK, "").alias("body")))
     clean = F.transform(cut, lambda x: F.struct(x["n"].alias("n"), (x["raw"] != x["body"]).alias("mark"), F.trim(F.regexp_replace(x["body"], _SPACES, " ")).alias("c")))
+    with_words = F.transform(clean, lambda x: F.struct(x["n"].alias("n"), x["mark"].alias("mark"), x["c"].alias("c"), F.length(x["c"]).alias("size"), words(x["c"]).alias("w")))
     parts = F.transform(
-        clean,
+        with_words,
         lambda x: F.struct(
-            x["n"].alias("n"), x["mark"].alias("mark"), x["c"].alias("c"), F.length(x["c"]).alias("size"), words(x["c"]).alias("w"),
-            x["c"].rlike(_END).alias("end"),
+            *[x[f].alias(f) for f in ("n", "mark", "c", "size", "w")], F.size(x["w"]).alias("k"), common_words(x["w"]).alias("common"), x["c"].rlike(_END).alias("end"),
+            (count_chars(x["c"], r"[^\p{Nd}]+") / F.greatest(x["size"], F.lit(1))).alias("digit_share"),
         ),
     )
 
     def judged(x: Column) -> Column:
-        size, k = F.greatest(x["size"], F.lit(1)), F.size(x["w"])
-        common = _common(x["w"])
-        digits = _count(x["c"], r"[^\p{Nd}]+") > 0.15 * size
-        lost = (k >= 12) & (common < 0.06 * k)
-        # Only such lines need the count of distinct words; a line that repeats itself is no table and no junk.
-        varied = F.when((k >= 12) & (digits | lost), F.size(F.array_distinct(x["w"])) > 0.5 * k).otherwise(True)
-        sure = (k >= 8) & (common >= 0.2 * k) & ~x["c"].rlike(_SUSPECT)
-        structured = ~sure & any_of([
-            x["mark"] & (k <= 6) & ~x["end"],
-            digits & varied,
-            _count(x["c"], r"[\p{L}\p{N}\s]+") > 0.3 * size,
-            _count(x["c"], _LINK) < size / 2,
-            F.regexp_count(x["c"], F.lit(_SEPARATOR)) * 4 > k,
-            x["c"].rlike(_PAIR),
-            x["c"].rlike(_CODE),
-            lost & varied,
-        ])
-        return F.struct(x["n"].alias("n"), x["w"].alias("w"), x["end"].alias("end"), x["mark"].alias("mark"), F.endswith(x["c"], F.lit("…")).alias("dots"), (x["size"] > 0).alias("full"), (structured & (x["size"] > 0)).alias("structured"))
+        size, k = F.greatest(x["size"], F.lit(1)), x["k"]
+        # A line that repeats itself is no table and no junk.
+        distinct = F.size(F.array_distinct(x["w"])) > 0.5 * k
+        statistics = {
+            "entry_words": F.when(x["mark"] & ~x["end"], k).otherwise(1 << 30),
+            "digit_share": x["digit_share"],
+            "varied": F.when(k < 12, 1).otherwise(distinct.cast("int")),
+            "symbol_share": count_chars(x["c"], CHARS) / size,
+            "linkless_share": count_chars(x["c"], _LINK) / size,
+            "separators_a_word": F.regexp_count(x["c"], F.lit(_SEPARATOR)) / F.greatest(k, F.lit(1)) + F.when(k == 0, F.regexp_count(x["c"], F.lit(_SEPARATOR))).otherwise(0),
+            "pair": x["c"].rlike(_PAIR).cast("int"),
+            "code": x["c"].rlike(_CODE).cast("int"),
+            "common_share": x["common"] / F.greatest(k, F.lit(1)),
+            "varied_words": F.when((k >= 12) & (x["common"] < 0.06 * k) & distinct, k).otherwise(0),
+        }
+        sure = (k >= 8) & (x["common"] >= 0.2 * k) & ~x["c"].rlike(_SUSPECT)
+        structured = (x["size"] > 0) & ~sure & fails(LINE_RULES, statistics)
+        return F.struct(
+            *[x[f].alias(f) for f in ("n", "w", "k", "common", "end", "mark")], F.endswith(x["c"], F.lit("…")).alias("dots"), (x["size"] > 0).alias("full"),
+            (x["size"] < 30).alias("short"), structured.alias("structured"),
+        )
 
     return F.transform(parts, judged)
 
 
-def statistics(text: Column, every: bool = True) -> Column:
-    """A struct of statistics of a text; null for a null text. Shares of nothing are 0. Without ``every``: the length and the share of prose."""
+def _total(lines: Column, f) -> Column:
+    return F.aggregate(lines, F.lit(0).cast("bigint"), lambda a, y: a + f(y))
+
+
+def statistics(text: Column) -> Column:
+    """A struct of the statistics :data:`NAMES` of a text; null for a null text. Shares of nothing are 0.
+
+    A text is natural if common words are frequent among its flowing lines, or if these repeat themselves.
+    """
     def of(x: Column) -> Column:
         lines = x["lines"]
-        full = F.filter(lines, lambda y: y["full"])
-        flow = F.filter(lines, lambda y: ~y["structured"])
-        return bind(F.struct(
-            (words(x["text"]) if every else F.lit(None).cast("array<string>")).alias("w"),
-            F.flatten(F.transform(flow, lambda y: y["w"])).alias("flow_w"),
-            F.aggregate(flow, F.lit(0).cast("bigint"), lambda a, y: a + y["n"] + 1).alias("flow_n"),
-            F.size(full).alias("n_lines"),
-            F.size(F.filter(full, lambda y: y["end"])).alias("ends"),
-            F.size(F.filter(full, lambda y: y["mark"])).alias("marks"),
-            F.size(F.filter(full, lambda y: y["dots"])).alias("dots"),
-            x["text"].alias("text"),
-        ), numbers)
+        sums = {
+            "flow_words": lambda y: F.when(y["structured"], 0).otherwise(y["k"]), "flow_common": lambda y: F.when(y["structured"], 0).otherwise(y["common"]),
+            "flow_n": lambda y: F.when(y["structured"], 0).otherwise(y["n"] + 1), "n_lines": lambda y: y["full"].cast("int"),
+            "ends": lambda y: (y["full"] & y["end"]).cast("int"), "marks": lambda y: (y["full"] & y["mark"]).cast("int"),
+            "dots": lambda y: (y["full"] & y["dots"]).cast("int"), "short": lambda y: (y["full"] & y["short"]).cast("int"),
+        }
+        return bind(F.struct(words(x["text"]).alias("w"), lines.alias("lines"), x["text"].alias("text"), *[_total(lines, f).alias(n) for n, f in sums.items()]), counted)
+
+    def counted(x: Column) -> Column:
+        lengths = F.aggregate(x["w"], F.lit(0).cast("bigint"), lambda a, y: a + F.length(y))
+        fields = ["w", "lines", "text", "flow_words", "flow_common", "flow_n", "n_lines", "ends", "marks", "dots", "short"]
+        return bind(F.struct(*[x[f].alias(f) for f in fields], F.length(x["text"]).alias("n_chars"), F.size(x["w"]).alias("n_words"), common_words(x["w"]).alias("common"), lengths.alias("lengths")), numbers)
 
     def numbers(x: Column) -> Column:
-        n_chars, n_words = F.length(x["text"]), F.size(x["w"])
-        nonzero = lambda c: F.greatest(c, F.lit(1))
-        flow_words = F.size(x["flow_w"])
-        natural = (_common(x["flow_w"]) >= 0.08 * flow_words) | (F.size(F.array_distinct(x["flow_w"])) <= 0.5 * flow_words)
-        lengths = F.aggregate(x["w"], F.lit(0).cast("bigint"), lambda a, y: a + F.length(y))
-        share = lambda a, b: a / nonzero(b)
-        prose = F.when((flow_words > 0) & natural, F.least(F.lit(1.0), share(x["flow_n"], n_chars))).otherwise(0.0)
-        found = [n_chars.cast("bigint").alias("n_chars"), prose.alias("prose_share")]
-        if not every:
-            return F.struct(*found)
-        return F.struct(
-            *found,
-            n_words.cast("bigint").alias("n_words"),
-            share(lengths, n_words).alias("mean_word_length"),
-            share(_count(x["text"], r"[\p{L}\p{N}\s]+"), n_chars).alias("symbol_share"),
-            share(F.size(F.filter(x["w"], lambda y: y.rlike(r"\p{L}"))), n_words).alias("alpha_word_share"),
-            share(x["ends"], x["n_lines"]).alias("end_line_share"),
-            share(x["marks"], x["n_lines"]).alias("bullet_line_share"),
-            share(x["dots"], x["n_lines"]).alias("ellipsis_line_share"),
-            share(_common(x["w"]), n_words).alias("common_word_share"),
-        )
+        share = lambda a, b: a / F.greatest(b, F.lit(1))
+        flow_w = F.flatten(F.transform(F.filter(x["lines"], lambda y: ~y["structured"]), lambda y: y["w"]))
+        natural = (x["flow_common"] >= 0.08 * x["flow_words"]) | (F.size(F.array_distinct(flow_w)) <= 0.5 * x["flow_words"])
+        prose = F.when((x["flow_words"] > 0) & natural, F.least(F.lit(1.0), share(x["flow_n"], x["n_chars"]))).otherwise(0.0)
+        marks = F.regexp_count(x["text"], F.lit(r"#|…|\.\.\."))
+        values = {
+            "n_chars": x["n_chars"].cast("bigint"), "n_words": x["n_words"].cast("bigint"), "mean_word_length": share(x["lengths"], x["n_words"]),
+            "symbol_share": share(count_chars(x["text"], CHARS), x["n_chars"]), "mark_word_ratio": share(marks, x["n_words"]),
+            "alpha_word_share": share(F.size(F.filter(x["w"], lambda y: y.rlike(r"\p{L}"))), x["n_words"]), "n_lines": x["n_lines"],
+            "end_line_share": share(x["ends"], x["n_lines"]), "bullet_line_share": share(x["marks"], x["n_lines"]), "ellipsis_line_share": share(x["dots"], x["n_lines"]),
+            "short_line_share": share(x["short"], x["n_lines"]), "n_common_words": x["common"].cast("bigint"), "common_word_share": share(x["common"], x["n_words"]),
+            "n_braces": F.regexp_count(x["text"], F.lit(r"[{}]")), "prose_share": prose,
+        }
+        return F.struct(*[values[n].alias(n) for n in NAMES])
 
     return F.when(text.isNotNull(), bind(F.struct(_lines(text).alias("lines"), text.alias("text")), of))
 
 
-def is_no_prose(stats: Column, least_chars: int = 80) -> Column:
-    """Texts of at least ``least_chars`` characters of which more than half are not prose; false for null."""
-    return F.coalesce((stats["n_chars"] >= least_chars) & (stats["prose_share"] < 0.5), F.lit(False))
+def is_no_prose(text: Column) -> Column:
+    """Whether a text fails :data:`RULES` as no prose, as a condition that evaluates the statistics once; false for null."""
+    return F.coalesce(F.exists(measured(RULES, statistics(text), NAMES), lambda s: F.array_contains(s["reasons"], NO_PROSE)), F.lit(False))
 
 
 def judge(records: DataFrame, key: dict[str, Column], text: Column) -> DataFrame:
@@ -151,6 +174,5 @@ def judge(records: DataFrame, key: dict[str, Column], text: Column) -> DataFrame
     One row a record, also of repeated ones; a null text has null statistics and the one reason ``null``; an
     empty one has zeros. Other columns, under any names, are ignored. Long texts are taken whole.
     """
-    stats = records.select(*[c.alias(n) for n, c in key.items()], statistics(text).alias("s"))
-    reasons = F.when(F.col("s").isNull(), F.array(F.lit("null"))).otherwise(failures(RULES, F.col("s")))
-    return stats.select(*key, "s.*", reasons.alias("reasons"))
+    rows = records.select(*[c.alias(n) for n, c in key.items()], text.alias("__text"))
+    return rows.select(*key, F.inline(measured(RULES, statistics(F.col("__text")), NAMES)))

@@ -39,8 +39,7 @@ def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes and long texts that are prose of at least 40 letters, with their languages."""
     events = spread(load(spark, sf_dir, "nostr_event").select("id", "kind", "content", "lang")).where(F.col("kind").isin(1, 30023) & F.col("id").isNotNull() & F.col("content").isNotNull())
     model = fit_model(events, F.col("content"), F.col("lang"))
-    letters = F.length(F.regexp_replace("content", r"[^\p{L}]+", ""))
-    prose = events.where((letters >= 40) & ~quality.is_no_prose(quality.statistics(F.col("content"), every=False)))
+    prose = events.where(F.col("content").rlike(r"^(?:\P{L}*+\p{L}){40}") & ~quality.is_no_prose(F.col("content")))
     return infer_languages(prose, {"id": norm_key(F.col("id")), "label": normal_label(F.col("lang"))}, F.col("content"), model)
 
 
@@ -66,9 +65,9 @@ def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.add()
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = _texts(spark, sf_dir).where("length(text) >= 80")
-    judged = texts.select("tab", "rec", quality.statistics(F.col("text"), every=False).alias("s"))
-    return judged.where(quality.is_no_prose(F.col("s"))).select("tab", "rec").distinct()
+    """The records that fail the table of thresholds as no prose."""
+    judged = quality.judge(_texts(spark, sf_dir), {"tab": F.col("tab"), "rec": F.col("rec")}, F.col("text"))
+    return judged.where(F.array_contains("reasons", quality.NO_PROSE)).select("tab", "rec").distinct()
 
 
 @REGISTRY.add()
@@ -105,8 +104,9 @@ n AS (
 
 @REGISTRY.add(_RUNS + "SELECT w.tab, w.rec FROM w JOIN n USING (tab, rec) WHERE len(w) >= 30 AND covered * 3 >= len(w)")
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = _texts(spark, sf_dir).select("tab", "rec", repetition.statistics(F.col("text"), every=False).alias("s"))
-    return measured.where(repetition.is_repetitive(F.col("s"))).select("tab", "rec").distinct()
+    """The records that fail the table of thresholds for repeated runs of words."""
+    measured = repetition.measure(_texts(spark, sf_dir), {"tab": F.col("tab"), "rec": F.col("rec")}, F.col("text"))
+    return measured.where(F.array_contains("reasons", repetition.REPEATED_RUNS)).select("tab", "rec").distinct()
 
 
 @REGISTRY.add(_RUNS + "SELECT w.tab, w.rec, len(w)::BIGINT AS n_words, round(coalesce(covered, 0)::DOUBLE / greatest(len(w), 1), 6) AS run_word_share FROM w LEFT JOIN n USING (tab, rec)")
@@ -152,7 +152,8 @@ WITH {_CANON}
 SELECT min(id) AS first_id, count(*) AS n_copies FROM canon GROUP BY canon HAVING count(*) > 1""")
 def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record for each set of same contents, with its number of copies."""
-    return event_classes(spread(load(spark, sf_dir, "nostr_event").select("id", "kind", "content"))).groupBy("first_id").agg(F.count("*").alias("n_copies")).where("n_copies > 1")
+    records = event_classes(spread(load(spark, sf_dir, "nostr_event").select("id", "kind", "content")))
+    return records.where("id = first_id and n_copies > 1").select("first_id", "n_copies")
 
 
 def _name(c: str):

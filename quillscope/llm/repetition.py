@@ -1,4 +1,4 @@
-"""Repeated content within a document: a table of thresholds over one projection, without user functions.
+"""Repeated content within a document: a table of thresholds compiled into one projection of length, symbol, common-word, line and run ratios, without user functions.
 
 The share of repeated words is exact: every run of five words is hashed in place, the hashes are
 sorted with their places, and a run that is not the first of its hash marks its five words.
@@ -9,17 +9,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rules import Rule, bind, failures, words
+from .quality import FINEWEB, GOPHER, OWN, common_words
+from .rules import CHARS, LINE_BREAKS, Rule, bind, count_chars, measured, words
 
 RUN = 5
 
-#: Published fixed thresholds for repetition, and the share of words in repeated runs.
+#: For which reasons a text fails. Those of Gopher are its bounds for the share of characters; the last one makes a case of p7_found.
 RULES: list[Rule] = [
-    ("repeated lines", "line_share", ">", 0.3),
-    ("repeated paragraphs", "paragraph_share", ">", 0.3),
-    ("repeated sentences", "sentence_share", ">", 0.3),
-    ("repeated runs of words", "run_word_share", ">", 1 / 3 - 1e-12),
-    ("one word over and over", "top_word_share", ">", 0.3),
+    Rule("repeated lines", "line_share", ">", 0.2, GOPHER),
+    Rule("repeated paragraphs", "paragraph_share", ">", 0.2, GOPHER),
+    Rule("repeated sentences", "sentence_share", ">", 0.3, OWN),
+    Rule("one word over and over", "top_word_share", ">", 0.3, OWN),
+    Rule("hashes and ellipses", "mark_word_ratio", ">", 0.1, GOPHER),
+    Rule("symbols", "symbol_share", ">", 0.3, OWN),
+    Rule("few common words", "n_common_words", "<", 2, GOPHER),
+    Rule("lines without end", "end_line_share", "<=", 0.12, FINEWEB),
+    # At least a third: three times the words in repeated runs, less all words.
+    Rule("repeated runs of words", "run_surplus", ">=", 0, OWN, ("n_words", 30)),
+]
+REPEATED_RUNS = RULES[-1].reason
+NAMES = [
+    "n_words", "run_words", "run_word_share", "run_surplus", "line_share", "paragraph_share", "sentence_share", "top_word_share", "symbol_share", "mark_word_ratio",
+    "n_common_words", "end_line_share",
 ]
 
 
@@ -64,34 +75,31 @@ def _top_share(w: Column) -> Column:
     return bind(F.sort_array(w), of)
 
 
-def statistics(text: Column, every: bool = True) -> Column:
-    """A struct of shares of repeated content; null for a null text. ``every``: also those of lines, paragraphs, sentences and words."""
+def statistics(text: Column) -> Column:
+    """A struct of the statistics :data:`NAMES`; null for a null text. Shares of nothing are 0."""
     def of(w: Column) -> Column:
-        n = F.size(w)
-        columns = [n.cast("bigint").alias("n_words"), (covered_words(w) / F.greatest(n, F.lit(1))).alias("run_word_share")]
-        if every:
-            columns += [
-                _repeated_share(F.split(text, r"\r\n|[\r\n]")).alias("line_share"),
-                _repeated_share(F.split(text, r"(?:\r?\n\s*){2,}")).alias("paragraph_share"),
-                _repeated_share(F.split(text, r"(?<=[.!?…])\s+")).alias("sentence_share"),
-                _top_share(w).alias("top_word_share"),
-            ]
-        return F.struct(*columns)
+        return bind(F.struct(w.alias("w"), F.size(w).alias("n"), covered_words(w).alias("run"), F.filter(F.split(text, LINE_BREAKS), lambda x: x != "").alias("lines")), numbers)
+
+    def numbers(x: Column) -> Column:
+        share = lambda a, b: a / F.greatest(b, F.lit(1))
+        ends = F.size(F.filter(x["lines"], lambda y: y.rlike(r"[.!?…。！？][\"”»')\]]*\s*$")))
+        values = {
+            "n_words": x["n"].cast("bigint"), "run_words": x["run"].cast("bigint"), "run_word_share": share(x["run"], x["n"]), "run_surplus": (x["run"] * 3 - x["n"]).cast("bigint"),
+            "line_share": _repeated_share(x["lines"]), "paragraph_share": _repeated_share(F.split(text, r"(?:\r?\n\s*){2,}")),
+            "sentence_share": _repeated_share(F.split(text, r"(?<=[.!?…])\s+")), "top_word_share": _top_share(x["w"]),
+            "symbol_share": share(count_chars(text, CHARS), F.length(text)), "mark_word_ratio": share(F.regexp_count(text, F.lit(r"#|…|\.\.\.")), x["n"]),
+            "n_common_words": common_words(x["w"]).cast("bigint"), "end_line_share": share(ends, F.size(x["lines"])),
+        }
+        return F.struct(*[values[n].alias(n) for n in NAMES])
 
     return F.when(text.isNotNull(), bind(words(text), of))
 
 
-def is_repetitive(stats: Column, least_words: int = 30) -> Column:
-    """At least ``least_words`` words, a third of which lie in repeated runs; false for null."""
-    return F.coalesce((stats["n_words"] >= least_words) & (stats["run_word_share"] >= 1 / 3 - 1e-12), F.lit(False))
-
-
 def measure(records: DataFrame, key: dict[str, Column], text: Column) -> DataFrame:
-    """The key's columns, the shares, and ``reasons``: the rules of :data:`RULES` that the text fails.
+    """The key's columns, the statistics, and ``reasons``: the rules of :data:`RULES` that the text fails.
 
-    One row a record, also of repeated ones; a null text has null shares and the one reason ``null``; an empty
+    One row a record, also of repeated ones; a null text has null statistics and the one reason ``null``; an empty
     one has zeros. Other columns, under any names, are ignored. Long texts are taken whole.
     """
-    stats = records.select(*[c.alias(n) for n, c in key.items()], statistics(text).alias("s"))
-    reasons = F.when(F.col("s").isNull(), F.array(F.lit("null"))).otherwise(failures(RULES, F.col("s")))
-    return stats.select(*key, "s.*", reasons.alias("reasons"))
+    rows = records.select(*[c.alias(n) for n, c in key.items()], text.alias("__text"))
+    return rows.select(*key, F.inline(measured(RULES, statistics(F.col("__text")), NAMES)))

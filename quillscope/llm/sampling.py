@@ -4,62 +4,20 @@ Records of a category are put in random order; the record of rank r of a categor
 The sample is the records of the smallest priorities, after the first ``min_rows`` of each category. A category
 that runs out leaves its seats to the next priorities of the others.
 
-The order comes from a hash, and ranks from counts by ranges of the hash, so a category may hold any share of
-the rows. Priorities of a category rise with the rank, so what the sample takes is found from the
-categories' counts alone: seats by category, at most a hundred thousand of them, and then one filter.
+The order comes from a hash, and ranks from counts by ranges of the hash, so a category may hold any share of the rows.
+The smallest priorities of all are found by one more ranking, in ranges of the priorities, so neither the
+categories nor the sample meet in one place, and any number of targets will do.
 """
 
 from __future__ import annotations
 
-import heapq
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.skew import BROADCAST_ROWS, lookup, random_rank
+from ..plans.skew import exclusive_sum, lookup, random_rank
 from ..session import Scratch
 
 
-def seats(target: np.ndarray, floor: np.ndarray, there: np.ndarray, size: int) -> np.ndarray:
-    """Seats by category: first the floors, then the smallest priorities; ties go to the earlier category.
-
-    If the floors alone exceed ``size`` they are filled by rank: every category's first record, then the second ones.
-    """
-    there = there.astype(np.int64)
-    out = np.minimum(np.maximum(floor.astype(np.int64), 0), there)
-    size = int(min(size, there[(target > 0) | (floor > 0)].sum()))
-    if out.sum() >= size:
-        lo, hi = 0, int(out.max(initial=0))
-        while lo < hi:  # the largest rank that all can have
-            mid = (lo + hi + 1) // 2
-            lo, hi = (mid, hi) if np.minimum(out, mid).sum() <= size else (lo, mid - 1)
-        low = np.minimum(out, lo)
-        more = np.flatnonzero(out > lo)[: size - int(low.sum())]
-        low[more] += 1
-        return low
-    t = target.astype(float)
-    ok = t > 0
-
-    def upto(x: float) -> np.ndarray:
-        return np.maximum(out, np.where(ok, np.minimum(there, np.floor(x * t + 0.5).astype(np.int64)), 0))
-
-    lo, hi = 0.0, float(((there[ok] + 1) / t[ok]).max(initial=0.0))
-    for _ in range(200):  # the largest bound whose priorities below it do not exceed the size
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if upto(mid).sum() <= size else (lo, mid)
-    got = upto(lo)
-    heap = [((got[i] + 0.5) / t[i], i) for i in np.flatnonzero(ok & (got < there))]
-    heapq.heapify(heap)
-    while got.sum() < size and heap:
-        _, i = heapq.heappop(heap)
-        got[i] += 1
-        if got[i] < there[i]:
-            heapq.heappush(heap, ((got[i] + 0.5) / t[i], i))
-    return got
-
-
 def sample_by_targets(
     records: DataFrame, key: Column, category: dict[str, Column], targets: DataFrame, target: str, floor: str,
     share: float | None = 0.1, size: int | None = None, scale: int = 1000, seed: int = 11,
@@ -74,7 +32,8 @@ def sample_by_targets(
     Defined results: rows with a null key are ignored; of rows with the same key the least category holds; a
     category with a null part is a category of no target: it counts for the size and is not drawn from;
     targets with null names match nothing and are reported; null shares and floors count as 0; of several target rows for a
-    category the sums hold; empty tables give an empty sample. Other columns are ignored. At most a hundred thousand targets.
+    category the sums hold; equal priorities go by the category's names; if the floors alone exceed the size they are filled by
+    rank, every category's first record, then the second ones; empty tables give an empty sample. Other columns are ignored.
     """
     spark = records.sparkSession
     names = list(category)
@@ -85,20 +44,18 @@ def sample_by_targets(
     n = rows.count()
     size = int(n * share + 1e-9) if size is None else size
     want = targets.groupBy(*names).agg(F.coalesce(F.sum(target), F.lit(0)).cast("double").alias("__target"), F.coalesce(F.sum(floor), F.lit(0)).cast("bigint").alias("__floor"))
-    there = rows.groupBy(*names).agg(F.count("*").alias("__there"))
-    cells = want.join(there, names, "left").fillna(0, ["__there"]).orderBy(*names).limit(BROADCAST_ROWS + 1).toPandas()
-    if len(cells) > BROADCAST_ROWS:
-        raise ValueError("too many target categories")
-    named = cells[names].notna().all(axis=1).to_numpy()
-    available = np.where(named, cells["__there"].to_numpy(np.int64), 0)
-    taken = seats(cells["__target"].to_numpy(float), cells["__floor"].to_numpy(np.int64), available, size)
-    wanted = np.maximum(cells["__floor"].to_numpy(np.int64), np.floor(size * cells["__target"].to_numpy(float) / scale + 1e-9).astype(np.int64))
-    table = pd.DataFrame({**{x: cells[x] for x in names}, "wanted": wanted, "available": available, "taken": taken, "target": cells["__target"], "least": cells["__floor"]})
-    schema = ", ".join([*[f"`{x}` {rows.schema[x].dataType.simpleString()}" for x in names], "wanted bigint, available bigint, taken bigint, target double, least bigint"])
-    cell_table = spark.createDataFrame([tuple(None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in r) for r in table.itertuples(index=False)], schema)
-    report = cell_table.select(*names, "wanted", "available", "taken", (F.col("available") >= F.col("wanted")).alias("met"))
-    drawn = lookup(rows, cell_table.where("taken > 0").select(*names, "taken", "target", "least"), names, "inner")
+    drawn = lookup(rows, want, names, "inner")
     ranked = random_rank(drawn, names, "__u", ["__key"], n, "rank")
-    chosen = ranked.where(F.col("rank") <= F.col("taken"))
-    priority = F.when(F.col("rank") > F.col("least"), (F.col("rank") - 0.5) / F.col("target"))
-    return chosen.select(F.col("__key").alias("key"), *names, "rank", priority.alias("priority")), report
+    in_floor, in_share = F.col("rank") <= F.col("__floor"), F.col("__target") > 0
+    priority = F.when(~in_floor & in_share, (F.col("rank") - 0.5) / F.col("__target"))
+    # Floors first, by rank; then the priorities; records of categories without a target last, and never taken.
+    ranked = ranked.select("__key", *names, "rank", priority.alias("priority"), F.when(in_floor, 0).when(in_share, 1).otherwise(2).alias("__class"))
+    ranked = ranked.withColumn("__order", F.when(F.col("__class") == 0, F.col("rank")).otherwise(F.coalesce("priority", F.lit(0.0)))).withColumn("__one", F.lit(1).cast("bigint"))
+    placed = exclusive_sum(ranked, [], ["__class", "__order", *names, "rank"], {"__before": "__one"})
+    placed = scratch.write(placed.withColumn("taken", (F.col("__class") < 2) & (F.col("__before") < size)), "placed")
+    # A category's records are as many as its last rank.
+    cells = placed.groupBy(*names).agg(F.max("rank").alias("available"), F.count_if("taken").alias("taken"))
+    report = want.join(cells, names, "left").fillna(0, ["available", "taken"])
+    wanted = F.greatest(F.col("__floor"), F.floor(F.col("__target") * size / scale + 1e-9).cast("bigint"))
+    report = report.select(*names, wanted.alias("wanted"), "available", "taken", (F.col("available") >= wanted).alias("met"))
+    return placed.where("taken").select(F.col("__key").alias("key"), *names, "rank", "priority"), report

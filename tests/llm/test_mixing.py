@@ -34,7 +34,7 @@ def test_shares_caps_and_tokens(spark):
     blocks, report = run(spark, docs, [("big", 500, 2), ("tiny", 500, 3), ("none", 100, 2), (None, 5, 5)], block_tokens=64, shard_slots=50)
     texts = {s: [own.encode(t) for _, x, t in docs if x == s and t] for s in ("big", "tiny")}
     assert report["big"]["tokens"] == sum(map(len, texts["big"])) and report["tiny"]["tokens"] == sum(map(len, texts["tiny"])) and report["none"]["tokens"] == 0
-    assert report["tiny"]["uses_of_a_block"] == 3 and not report["tiny"]["met"] and report["tiny"]["used_tokens"] == 3 * report["tiny"]["tokens"]
+    assert report["tiny"]["uses_of_a_block"] == 3 and not report["tiny"]["met"] and report["tiny"]["short_pm"] > 0 and report["tiny"]["used_tokens"] == 3 * report["tiny"]["tokens"]
     assert report["big"]["uses_of_a_block"] <= 2
     assert len({(r["shard"], r["slot"]) for r in blocks}) == len(blocks) and all(r["slot"] < 50 for r in blocks)
     uses, first = {}, {}
@@ -43,6 +43,9 @@ def test_shares_caps_and_tokens(spark):
         uses[k] = uses.get(k, 0) + 1
         ids = np.frombuffer(bytes(r["ids"]), "<u2").tolist()
         assert len(ids) == r["n_tokens"] <= 64 and first.setdefault(k, ids) == ids
+        # Each block says which tokens of which text it holds.
+        whole = {i: own.encode(t) for i, x, t in docs if x == r["source"] and t}
+        assert ids == [t for d in r["docs"] for t in whole[d["doc_id"]][d["first"] : d["first"] + d["n"]]] and [d["at"] for d in r["docs"]][0] == 0
     # The blocks of the small source, in order, are its texts end to end, in some order of the texts.
     tiny = [t for k in sorted(first) if k[0] == "tiny" for t in first[k]]
     assert sorted(tiny) == sorted(t for x in texts["tiny"] for t in x) and own.decode(tiny).decode().count("a small text") == 40
@@ -60,3 +63,16 @@ def test_total_and_weights_follow(spark):
 def test_nothing_to_mix(spark, docs, targets):
     blocks, report = run(spark, docs, targets)
     assert blocks == [] and all(r["used_tokens"] == 0 and r["actual_pm"] == 0 for r in report.values())
+
+
+def test_blocks_do_not_depend_on_the_layout(spark):
+    docs = [(i % 250, f"s{i % 2}", f"plain words of {i % 250} again " * (i % 9)) for i in range(300)]
+    d, t = spark.createDataFrame([(*r, "x", "y") for r in docs], DOCS), spark.createDataFrame([("s0", 700, 9), ("s1", 300, 2)], TARGETS)
+    seen = []
+    for parts, shuffles in ((1, "3"), (5, "8"), (11, "2")):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        seen.append(sorted(map(str, mx.mix(d.repartition(parts), t, block_tokens=32, range_tokens=700, separator=9)[0].collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) > 100
+    whole = sorted(map(str, mx.mix(d, t, block_tokens=32, separator=9)[0].collect()))
+    assert whole == seen[0]

@@ -33,7 +33,7 @@ NO_PROSE = [
 def test_prose_or_not(spark):
     texts = PROSE + NO_PROSE
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    got = {r["i"]: r["x"] for r in df.select("i", q.is_no_prose(q.statistics(F.col("t"), every=False)).alias("x")).collect()}
+    got = {r["i"]: r["x"] for r in df.select("i", q.is_no_prose(F.col("t")).alias("x")).collect()}
     assert [got[i] for i in range(len(texts))] == [False] * len(PROSE) + [True] * len(NO_PROSE)
 
 
@@ -42,7 +42,7 @@ def test_statistics_and_reasons(spark):
     a, empty, null, dots = q.judge(df, {"t": F.col("t")}, F.col("t")).collect()
     assert (a["n_words"], a["n_chars"], a["end_line_share"], a["bullet_line_share"], a["ellipsis_line_share"]) == (5, 30, 1.0, 0.5, 0.5)
     assert a["mean_word_length"] == pytest.approx(22 / 5) and a["symbol_share"] == pytest.approx(3 / 30)
-    assert null["reasons"] == ["null"] and null["n_words"] is None and empty["n_words"] == 0 and "few words" in empty["reasons"] and "symbols" in dots["reasons"]
+    assert null["reasons"] == ["null"] and null["n_words"] is None and empty["n_words"] == 0 and "few words" in empty["reasons"] and "few common words" in dots["reasons"] and "no prose" not in dots["reasons"]
     assert q.judge(df.limit(0), {"t": F.col("t")}, F.col("t")).count() == 0
 
 
@@ -60,7 +60,7 @@ def covered(text):
 def test_covered_words_against_brute_force(spark):
     rnd = random.Random(5)
     texts = [" ".join(rnd.choices("abc", k=rnd.randint(0, 120))) for _ in range(60)] + ["one two three four five", "x " * 50, "", "A b, c. D\ne! a B c d e f", "w " * 30_000]
-    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", rp.statistics(F.col("t"), every=False).alias("s"))
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", rp.statistics(F.col("t")).alias("s"))
     for r in df.collect():
         n, total = covered(texts[r["i"]])
         assert r["s"]["n_words"] == total and r["s"]["run_word_share"] == pytest.approx(n / max(total, 1))
@@ -71,11 +71,23 @@ def test_shares_and_reasons(spark):
     df = spark.createDataFrame([(text,), ("",), (None,)], "t string").withColumn("line_share", F.lit(1))
     a, empty, null = rp.measure(df, {"t": F.col("t")}, F.col("t")).collect()
     assert a["line_share"] == pytest.approx(28 / 53) and a["top_word_share"] == pytest.approx(3 / 11) and "repeated lines" in a["reasons"]
-    assert empty["reasons"] == [] and empty["run_word_share"] == 0 and null["reasons"] == ["null"]
+    assert "repeated runs of words" not in empty["reasons"] and empty["run_word_share"] == 0 and null["reasons"] == ["null"]
 
 
 def test_a_third_of_thirty(spark):
     base = [f"w{i}" for i in range(25)]
     cases = {" ".join(base + base[:10]): False, " ".join(base[:20] + base[:10]): True, " ".join(base[:18] + base[:10]): False}
     df = spark.createDataFrame([(t,) for t in cases], "t string")
-    assert [r[0] for r in df.select(rp.is_repetitive(rp.statistics(F.col("t"), every=False))).collect()] == list(cases.values())
+    got = {r["t"]: rp.REPEATED_RUNS in r["reasons"] for r in rp.measure(df, {"t": F.col("t")}, F.col("t")).collect()}
+    assert got == cases
+
+
+def test_each_rule_has_a_source_and_statistics_are_evaluated_once(spark):
+    assert all(r.source for r in [*q.RULES, *q.LINE_RULES, *rp.RULES])
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    df = spark.createDataFrame([("x",)], "t string")
+    for module, reason, judge in ((q, q.NO_PROSE, q.judge), (rp, rp.REPEATED_RUNS, rp.measure)):
+        plan = judge(df, {"t": F.col("t")}, F.col("t")).where(F.array_contains("reasons", reason)).select("t")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("few common words") == 1
+    plan = df.where(~q.is_no_prose(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("few common words") == 1

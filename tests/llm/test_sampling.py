@@ -1,7 +1,6 @@
-import numpy as np
+import random
+
 import pytest
-from hypothesis import given
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillscope.llm import sampling as sa
@@ -17,10 +16,14 @@ def brute(target, floor, there, size):
     return got
 
 
-@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 4), st.integers(0, 30)), max_size=8), st.integers(0, 80))
-def test_seats_are_the_smallest_priorities(cells, size):
-    t, f, n = (np.array(x) if cells else np.zeros(0, int) for x in (list(zip(*cells)) or [[], [], []]))
-    assert sa.seats(t, f, n, size).tolist() == brute(t.tolist(), f.tolist(), n.tolist(), size)
+@pytest.mark.parametrize("seed", range(4))
+def test_seats_are_the_smallest_priorities(spark, seed):
+    rnd = random.Random(seed)
+    cells = [(rnd.randrange(10), rnd.randrange(5), rnd.randrange(31)) for _ in range(9)]
+    size = rnd.choice([3, 20, 60, 300])
+    rows = [(100 * c + i, f"m{c}", "d", "", "") for c, (_, _, n) in enumerate(cells) for i in range(n)]
+    _, report = run(spark, rows, [(f"m{c}", "d", t, f) for c, (t, f, _) in enumerate(cells)], size=size)
+    assert [report[f"m{c}", "d"]["taken"] for c in range(9)] == brute(*zip(*cells), size)
 
 
 def run(spark, rows, targets, **options):
