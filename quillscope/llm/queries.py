@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import norm_key
@@ -76,6 +76,44 @@ def p3_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_texts(spark, sf_dir), {"tab": F.col("tab"), "rec": F.col("rec")}, F.col("text"))
 
 
+_COMMON_SQL = "[" + ", ".join(f"'{w}'" for w in sorted({y for v in quality.COMMON.values() for y in v.split()})) + "]"
+_BREAKS_SQL = r"[\r\n\x{85}\x{2028}\x{2029}]+"
+_END_SQL = r"""[.!?…。！？]["”»'')\]]*\s*$"""
+_SHARE_SQL = lambda a, b: f"round(({a})::DOUBLE / greatest({b}, 1), 6)"
+
+
+def _reasons_sql(rules, names: dict[str, str], skip: str = "") -> str:
+    """The reasons of a table of rules over SQL columns."""
+    tests = [f"""CASE WHEN {f"{r.least[0]} >= {r.least[1]} AND " if r.least else ""}{names.get(r.statistic, r.statistic)} {r.op} {r.bound} THEN '{r.reason}' END""" for r in rules if r.reason != skip]
+    return f"list_filter([{', '.join(tests)}], lambda x: x IS NOT NULL)"
+
+
+_RATIOS = f"""
+WITH {_TEXTS},
+t AS (SELECT tab, rec, text, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w, string_split_regex(text, '{_BREAKS_SQL}') AS raw FROM texts WHERE text IS NOT NULL),
+b AS (SELECT *, list_transform(raw, lambda x: regexp_replace(x, '{quality._MARK}', '')) AS body FROM t),
+c AS (SELECT *, list_transform(body, lambda x: trim(regexp_replace(x, '{quality._SPACES}', ' ', 'g'), ' ')) AS c FROM b),
+f AS (
+  SELECT tab, rec, length(text)::BIGINT AS n_chars, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS lengths, length(regexp_replace(text, '[\\p{{L}}\\p{{N}}\\s]+', '', 'g')) AS symbols,
+    len(regexp_extract_all(text, '#|…|\\.\\.\\.')) AS marks, len(list_filter(w, lambda x: regexp_matches(x, '\\p{{L}}'))) AS alpha, len(list_filter(c, lambda x: x <> ''))::BIGINT AS n_lines,
+    len(list_filter(c, lambda x: regexp_matches(x, '{_END_SQL}'))) AS ends, len(list_filter(list_zip(raw, body, c), lambda x: x[3] <> '' AND x[1] <> x[2])) AS bullets, len(list_filter(c, lambda x: ends_with(x, '…'))) AS dots,
+    len(list_filter(c, lambda x: x <> '' AND length(x) < 30)) AS short, len(list_filter(w, lambda x: list_contains({_COMMON_SQL}, x)))::BIGINT AS n_common_words, len(regexp_extract_all(text, '[{{}}]'))::INT AS n_braces
+  FROM c),
+s AS (
+  SELECT *, lengths::DOUBLE / greatest(n_words, 1) AS mean_word_length, symbols::DOUBLE / greatest(n_chars, 1) AS symbol_share, marks::DOUBLE / greatest(n_words, 1) AS mark_word_ratio, alpha::DOUBLE / greatest(n_words, 1) AS alpha_word_share,
+    ends::DOUBLE / greatest(n_lines, 1) AS end_line_share, bullets::DOUBLE / greatest(n_lines, 1) AS bullet_line_share, dots::DOUBLE / greatest(n_lines, 1) AS ellipsis_line_share, short::DOUBLE / greatest(n_lines, 1) AS short_line_share FROM f)
+SELECT tab, rec, n_chars, n_words, n_lines, n_common_words, n_braces, {", ".join(f"round({x}, 6) AS {x}" for x in ("mean_word_length", "symbol_share", "mark_word_ratio", "alpha_word_share", "end_line_share", "bullet_line_share", "ellipsis_line_share", "short_line_share"))},
+  {_reasons_sql(quality.RULES, {}, quality.NO_PROSE)} AS reasons FROM s"""
+
+
+@REGISTRY.add(_RATIOS)
+def p3_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics that have published thresholds, and the reasons of those thresholds."""
+    judged = quality.judge(_texts(spark, sf_dir).where("text is not null"), {"tab": F.col("tab"), "rec": F.col("rec")}, F.col("text"))
+    whole, shares = ["n_chars", "n_words", "n_lines", "n_common_words", "n_braces"], ["mean_word_length", "symbol_share", "mark_word_ratio", "alpha_word_share", "end_line_share", "bullet_line_share", "ellipsis_line_share", "short_line_share"]
+    return judged.select("tab", "rec", F.col("n_chars"), *[F.col(c).cast("bigint" if c != "n_braces" else "int").alias(c) for c in whole[1:]], *[F.round(c, 6).alias(c) for c in shares], F.array_remove("reasons", quality.NO_PROSE).alias("reasons"))
+
+
 @REGISTRY.add(f"""
 WITH {_TEXTS},
 one AS (SELECT tab, rec, min(text) AS text FROM texts WHERE text IS NOT NULL GROUP BY ALL),
@@ -117,10 +155,39 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured.select("tab", "rec", "n_words", F.round("run_word_share", 6).alias("run_word_share"))
 
 
-@REGISTRY.add()
+def _repeated_sql(parts: str) -> str:
+    return f"list_filter(list_transform({parts}, lambda x: trim(regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ')), lambda x: x <> '')"
+
+
+def _again_sql(column: str) -> str:
+    total, first = (f"coalesce(list_sum(list_transform({x}, lambda y: length(y))), 0)" for x in (column, f"list_distinct({column})"))
+    return f"CASE WHEN {total} > 0 THEN ({total} - {first})::DOUBLE / {total} ELSE 0.0::DOUBLE END"
+
+
+_REPEATS = f"""
+WITH {_TEXTS},
+w AS (SELECT DISTINCT tab, rec, text, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM texts WHERE text IS NOT NULL),
+g AS (SELECT tab, rec, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT tab, rec, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+again AS (SELECT tab, rec, i FROM g QUALIFY row_number() OVER (PARTITION BY tab, rec, g ORDER BY i) > 1),
+n AS (SELECT tab, rec, sum(least(5, i - prev))::BIGINT AS run_words FROM (SELECT *, coalesce(lag(i) OVER (PARTITION BY tab, rec ORDER BY i), -5) AS prev FROM again) GROUP BY tab, rec),
+top AS (SELECT tab, rec, max(n) AS most FROM (SELECT tab, rec, x, count(*) AS n FROM (SELECT tab, rec, unnest(w) AS x FROM w) GROUP BY ALL) GROUP BY ALL),
+p AS (
+  SELECT tab, rec, text, w, len(w)::BIGINT AS n_words, coalesce(run_words, 0) AS run_words, coalesce(most, 0) AS most, list_filter(string_split_regex(text, '{_BREAKS_SQL}'), lambda x: x <> '') AS lines,
+    {_repeated_sql(f"string_split_regex(text, '{_BREAKS_SQL}')")} AS l, {_repeated_sql("string_split_regex(text, '(?:\\r?\\n\\s*){2,}')")} AS pa, {_repeated_sql("string_split(regexp_replace(text, '([.!?…])\\s+', '\\1' || chr(57344), 'g'), chr(57344))")} AS se
+  FROM w LEFT JOIN n USING (tab, rec) LEFT JOIN top USING (tab, rec)),
+s AS (
+  SELECT tab, rec, n_words, run_words, run_words::DOUBLE / greatest(n_words, 1) AS run_word_share, 3 * run_words - n_words AS run_surplus, {_again_sql("l")} AS line_share, {_again_sql("pa")} AS paragraph_share, {_again_sql("se")} AS sentence_share,
+    most::DOUBLE / greatest(n_words, 1) AS top_word_share, length(regexp_replace(text, '[\\p{{L}}\\p{{N}}\\s]+', '', 'g'))::DOUBLE / greatest(length(text), 1) AS symbol_share, len(regexp_extract_all(text, '#|…|\\.\\.\\.'))::DOUBLE / greatest(n_words, 1) AS mark_word_ratio,
+    len(list_filter(w, lambda x: list_contains({_COMMON_SQL}, x)))::BIGINT AS n_common_words, len(list_filter(lines, lambda x: regexp_matches(x, '{_END_SQL}')))::DOUBLE / greatest(len(lines), 1) AS end_line_share FROM p)
+SELECT tab, rec, n_words, run_words, run_surplus::BIGINT AS run_surplus, n_common_words, {", ".join(f"round({x}, 6) AS {x}" for x in ("run_word_share", "line_share", "paragraph_share", "sentence_share", "top_word_share", "symbol_share", "mark_word_ratio", "end_line_share"))},
+  {_reasons_sql(repetition.RULES, {})} AS reasons FROM s"""
+
+
+@REGISTRY.add(_REPEATS)
 def p7_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All shares of repeated content of each text and the reasons for which it fails."""
-    return repetition.measure(_texts(spark, sf_dir), {"tab": F.col("tab"), "rec": F.col("rec")}, F.col("text"))
+    """All shares of repeated content of each text, once a record, and the reasons for which it fails."""
+    measured = repetition.measure(_texts(spark, sf_dir).where("text is not null").distinct(), {"tab": F.col("tab"), "rec": F.col("rec")}, F.col("text"))
+    return measured.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in measured.dtypes])
 
 
 # DuckDB has no parser that sorts the fields of an object, so its form of profiles is made from their sorted pairs.
@@ -186,14 +253,23 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _machine_samples(spark, sf_dir)[1].where("not met").select("model", "domain")
 
 
-@REGISTRY.add()
+_TAKEN = f"""{_ELIGIBLE},
+seat AS (
+  SELECT g.model, g.domain, r.r, t.share_pm, t.min_rows, CASE WHEN r.r <= t.min_rows THEN 0 ELSE 1 END AS class, CASE WHEN r.r <= t.min_rows THEN r.r::DOUBLE ELSE (r.r - 0.5)::DOUBLE / t.share_pm END AS priority
+  FROM goal g JOIN sample_target t USING (model, domain), LATERAL (SELECT unnest(range(1, g.available + 1)) AS r) r WHERE t.share_pm > 0 OR r.r <= t.min_rows),
+drawn AS (SELECT *, row_number() OVER (ORDER BY class, priority, model, domain, r) AS place FROM seat QUALIFY place <= (SELECT count(*) // 10 FROM eligible)),
+taken AS (SELECT model, domain, count(*) AS taken FROM drawn GROUP BY ALL)"""
+
+
+@REGISTRY.add(f"WITH {_TAKEN} SELECT model, domain, r AS rank, round(CASE WHEN class = 1 THEN priority END, 9) AS priority FROM drawn")
 def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _machine_samples(spark, sf_dir)[0]
+    """The sample's records by their rank in their category and their priority (which record has a rank is the hash's choice)."""
+    return _machine_samples(spark, sf_dir)[0].select("model", "domain", "rank", F.round("priority", 9).alias("priority"))
 
 
-@REGISTRY.add(f"WITH {_ELIGIBLE} SELECT model, domain, wanted::BIGINT AS wanted, available, available >= wanted AS met FROM goal")
+@REGISTRY.add(f"WITH {_TAKEN} SELECT model, domain, wanted::BIGINT AS wanted, available, coalesce(taken, 0) AS taken, available >= wanted AS met FROM goal LEFT JOIN taken USING (model, domain)")
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _machine_samples(spark, sf_dir)[1].drop("taken")
+    return _machine_samples(spark, sf_dir)[1]
 
 
 @REGISTRY.add()
@@ -214,3 +290,35 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add()
 def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(spread(load(spark, sf_dir, "documents").select("doc_id", "source", "text")), load(spark, sf_dir, "split_limit"))
+
+
+@REGISTRY.add("""SELECT t.source, t.weight_pm::BIGINT AS weight_pm, true AS within_repeats, true AS share_as_wanted, true AS blocks_full, true AS texts_whole FROM mix_target t
+WHERE t.source IN (SELECT source FROM documents WHERE length(text) > 0)""")
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of a mix: no block beyond its repeats; shares within the noise of the draw (five deviations) unless a source is short; all blocks but a source's last full; the texts' parts add up to the block."""
+    docs, targets = spread(load(spark, sf_dir, "documents").select("doc_id", "source", "text")), load(spark, sf_dir, "mix_target")
+    blocks, report = mix(docs, targets)
+    by_block = blocks.groupBy("source", "block_no").agg(F.count("*").alias("uses"), F.max("n_tokens").alias("n"), F.min(F.aggregate("docs", F.lit(0), lambda a, d: a + d["n"]) == F.col("n_tokens")).alias("whole"))
+    by = by_block.groupBy("source").agg(F.max("uses").alias("uses"), F.sum("uses").alias("slots"), F.count_if(F.col("n") < 1024).alias("parts"), F.min("whole").alias("texts_whole"))
+    both = report.join(F.broadcast(targets.groupBy("source").agg(F.max("max_repeat").alias("most"))), "source").join(F.broadcast(by), "source")  # one row a source
+    share = F.col("actual_pm") / 1000
+    noise = 5 * F.sqrt(share * (1 - share) / F.col("slots")) * 1000 * F.sqrt(share) + 1000 / F.col("slots")
+    any_short = F.max(F.col("short_pm") > 0).over(Window.partitionBy(F.lit(0)))  # then the others have more than their weight
+    return both.select("source", "weight_pm", (F.col("uses") <= F.col("most")).alias("within_repeats"), (any_short | (F.abs(F.col("actual_pm") - F.col("weight_pm")) <= noise + 20)).alias("share_as_wanted"), (F.col("parts") <= 1).alias("blocks_full"), "texts_whole")
+
+
+@REGISTRY.add("""SELECT d.doc_id, true AS first_at_start, true AS within_limit, true AS joined_up, true AS text_complete FROM documents d JOIN split_limit l USING (source) WHERE octet_length(encode(text)) > max_tokens
+AND d.doc_id IN (SELECT doc_id FROM documents WHERE length(text) > 4 * (SELECT max(max_tokens) FROM split_limit) * 3)""")
+def p10_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the pieces of the longest texts (over twelve characters for each token of the largest limit, so that they are surely oversized): they start at 0, keep to the limit, overlap, and give the text again."""
+    docs, limits = load(spark, sf_dir, "documents").select("doc_id", "source", "text"), load(spark, sf_dir, "split_limit")
+    least = limits.agg(F.max("max_tokens")).first()[0] * 12
+    pieces = split_oversized(spread(docs), limits)
+    rows = docs.where(F.length("text") > least).join(F.broadcast(limits.select("source", "max_tokens")), "source").select("doc_id", "max_tokens", "text")
+    each = pieces.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("piece_no", "start_token", "end_token", "n_tokens", "overlap", F.octet_length("text").alias("bytes"), "text"))).alias("p"))
+    both = rows.join(each, "doc_id")
+    p = F.col("p")
+    pairs = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.struct(F.get(p, i - 1).alias("a"), F.get(p, i).alias("b")))
+    joined = F.forall(pairs, lambda x: (x["b"]["start_token"] == x["a"]["end_token"] - x["b"]["overlap"]) & (x["b"]["start_token"] > x["a"]["start_token"]))
+    complete = F.startswith(F.col("text"), F.get(p, F.lit(0))["text"]) & F.endswith(F.col("text"), F.get(p, F.size(p) - 1)["text"]) & F.forall(p, lambda x: F.contains(F.col("text"), x["text"]))
+    return both.select("doc_id", (F.get(p, F.lit(0))["start_token"] == 0).alias("first_at_start"), F.forall(p, lambda x: x["n_tokens"] <= F.col("max_tokens")).alias("within_limit"), joined.alias("joined_up"), complete.alias("text_complete"))
