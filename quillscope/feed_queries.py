@@ -73,20 +73,6 @@ def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.stats(_graph(spark, sf_dir))
 
 
-@REGISTRY.add()
-def event_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each tag and value occurs among the elements of the events."""
-    each = load(spark, sf_dir, "nostr_event").where("length(id) >= 16").select(F.inline(ev.elements()))
-    return each.groupBy("tag", "value").agg(F.count("*").alias("n"))
-
-
-@REGISTRY.add()
-def event_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each delivery's id beside the hash of its content, both ways of escaping."""
-    rows = load(spark, sf_dir, "nostr_event")
-    return rows.select("delivery_id", ev.compute_id().alias("computed"), ev.compute_id(escape_html=False).alias("computed_plain"), ev.valid_id().alias("is_valid"))
-
-
 @REGISTRY.add("""SELECT delivery_id FROM nostr_event WHERE kind IN (1, 6) AND created_at >= 1741000000 AND created_at <= 1744000000 AND len(list_filter(tags, lambda t: t[1] = 't' AND t[2] IN ('poetry', 'trains'))) > 0""")
 def event_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A subscription: kinds, a span of time and hashtags."""
@@ -220,14 +206,6 @@ def missing_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mt.missing_delta(_metrics(spark, sf_dir)["missing"])
 
 
-@REGISTRY.add()
-def digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The summary of the last generations."""
-    m = _metrics(spark, sf_dir)
-    out = mt.digest(m["health"], m["fitness"], m["type_sig"], m["bonds"], m["missing"], m["hex_ops"], m["adsr"], 10)
-    return out.withColumn("types", F.map_entries("types"))
-
-
 @REGISTRY.add("""WITH r AS (SELECT event_type = 'error' AS v, (row_number() OVER (ORDER BY event_id) - 1) // 1000 AS "window" FROM events),
 w AS (SELECT "window", count(*) AS tokens, count(*) FILTER (v) AS vertices FROM r GROUP BY 1 HAVING count(*) >= 1000)
 SELECT "window", tokens, vertices, row_number() OVER o >= 3 AND max((vertices * 5 > tokens)::INT) OVER (ORDER BY "window" ROWS 2 PRECEDING) = 0 AS converged FROM w WINDOW o AS (ORDER BY "window")""")
@@ -261,17 +239,16 @@ def ratio_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", "r.num", "r.denom", F.col("s.num").alias("sum_num"), F.col("s.denom").alias("sum_denom"), ratio.scale_int(F.col("r"), 100).alias("scaled"), ratio.less(F.col("r"), half).alias("below_half"))
 
 
-_Q = "[" + ", ".join(f"round(embedding[{i + 1}] * 1000)::BIGINT" for i in range(8)) + "]"
-
-
-@REGISTRY.add(f"""WITH q AS (SELECT vec_id, {_Q} AS v FROM embeddings), r AS (SELECT {_Q} AS r FROM embeddings ORDER BY vec_id LIMIT 1),
-d AS (SELECT vec_id, list_transform(range(1, 9), lambda i: v[i] - r[i]) AS d FROM q, r), m AS (SELECT *, list_transform(d, lambda x: abs(x)) AS s FROM d)
-SELECT vec_id, CASE WHEN list_max(s) = 0 THEN -1 ELSE list_position(s, list_max(s)) - 1 END::INT AS channel, CASE WHEN list_max(s) = 0 THEN 0 ELSE d[list_position(s, list_max(s))] END AS error FROM m""")
+@REGISTRY.add("""WITH q AS (SELECT vec_id, part::INT AS part, list_transform(range(1, 9), lambda i: round(embedding[part * 8 + i] * 1000)::BIGINT) AS v FROM embeddings, range(8) p(part)),
+r AS (SELECT part, v AS r FROM q WHERE vec_id = (SELECT min(vec_id) FROM embeddings)),
+d AS (SELECT vec_id, part, list_transform(range(1, 9), lambda i: v[i] - r[i]) AS d FROM q JOIN r USING (part)), m AS (SELECT *, list_transform(d, lambda x: abs(x)) AS s FROM d)
+SELECT vec_id, part, CASE WHEN list_max(s) = 0 THEN -1 ELSE list_position(s, list_max(s)) - 1 END::INT AS channel, CASE WHEN list_max(s) = 0 THEN 0 ELSE d[list_position(s, list_max(s))] END AS error FROM m""")
 def error_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each quantised vector differs most from the first."""
-    q = load(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: F.round(x.cast("float") * 1000).cast("bigint")).alias("v"))
-    first = q.orderBy("vec_id").limit(1).select(F.col("v").alias("r"))
-    return q.join(F.broadcast(first)).select("vec_id", vec.error_detect(F.col("v"), F.col("r")).alias("e")).select("vec_id", "e.channel", "e.error")  # one row
+    """Where each eighth of each quantised vector differs most from that of the first vector."""
+    eighths = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda p: F.transform(F.slice("embedding", p * 8 + 1, F.lit(8)), lambda x: F.round(x.cast("float") * 1000).cast("bigint")))
+    q = load(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(eighths).alias("part", "v"))
+    first = load(spark, sf_dir, "embeddings").orderBy("vec_id").limit(1).select(F.posexplode(eighths).alias("part", "r"))
+    return q.join(F.broadcast(first), "part").select("vec_id", "part", vec.error_detect(F.col("v"), F.col("r")).alias("e")).select("vec_id", "part", "e.channel", "e.error")  # eight rows
 
 
 @REGISTRY.add("""SELECT event_id, upper(substr(sha256(event_type), 1, 16)) || lpad(upper(to_hex(user_id)), 8, '0') AS k FROM events""")
@@ -295,13 +272,6 @@ def grammar_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar.neighbors_of(grammar.natural_text(spark))
 
 
-@REGISTRY.add()
-def text_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes of each kind for the length of each document."""
-    rows = load(spark, sf_dir, "documents").where("n_chars is not null").select("doc_id", grammar.text_counts(F.col("n_chars")).alias("m"))
-    return rows.select("doc_id", F.explode("m").alias("tag", "n"))
-
-
 @REGISTRY.add(r"""WITH r AS (SELECT received_at, unnest(tags) AS t FROM nostr_event WHERE kind = 10002),
 u AS (SELECT received_at, regexp_replace(trim(t[2]), '/+$', '') AS url FROM r WHERE t[1] = 'r' AND (t[3] IS NULL OR t[3] <> 'read'))
 SELECT url, epoch_us(min(received_at)) AS first_us FROM u WHERE regexp_matches(url, '^wss?://') AND NOT regexp_matches(lower(url), 'localhost|127\.0\.0\.1') GROUP BY url ORDER BY 2, 1 LIMIT 1000""")
@@ -312,11 +282,11 @@ def relay_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.add()
 def event_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The address of every event of kind 1 with a hexadecimal id."""
+    """The address of every delivery of an event with a hexadecimal id."""
     from .session import ship
 
     ship(spark)
-    rows = load(spark, sf_dir, "nostr_event").where("kind = 1").select(norm_key(F.col("id")).alias("id"), "relay", norm_key(F.col("pubkey")).alias("pubkey"), "kind").where("id rlike '^[0-9a-f]{64}$'")
+    rows = load(spark, sf_dir, "nostr_event").select(norm_key(F.col("id")).alias("id"), "relay", norm_key(F.col("pubkey")).alias("pubkey"), "kind").where("id rlike '^[0-9a-f]{64}$'")
     return rows.select("id", ev.nevent("id", "relay", "pubkey", "kind").alias("address"))
 
 
@@ -350,6 +320,6 @@ def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 e AS (SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&') AS t FROM d)
 SELECT doc_id, md5(trim(regexp_replace(regexp_replace(t, '[ \t\r]+', ' ', 'g'), ' ?\n ?(?:\n ?)*', chr(10), 'g'), ' ')) AS digest FROM e""")
 def html_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of the texts of HTML extracts."""
+    """Fingerprints of the texts of all HTML extracts, which are the documents of one source."""
     rows = load(spark, sf_dir, "documents").where("source = 'html-extract' and text is not null")
     return rows.select("doc_id", F.md5(files.html_text(F.col("text"))).alias("digest"))

@@ -89,26 +89,44 @@ def long_enough(least: int = 50, own_sign: str | None = None) -> Column:
     return test & ~F.contains(F.col("content"), F.lit(own_sign)) if own_sign else test
 
 
-def _plus(a, b):
-    if a is None or b is None:
-        return a or b
-    if a[0] == b[0]:
-        if a[1] != b[1]:
-            return None
-        k = 3 * a[0] * a[0] * pow(2 * a[1], -1, _P) % _P
-    else:
-        k = (b[1] - a[1]) * pow(b[0] - a[0], -1, _P) % _P
-    x = (k * k - a[0] - b[0]) % _P
-    return x, (k * (a[0] - x) - a[1]) % _P
-
-
-def _times(point, k: int):
-    out = None
-    while k:
-        if k & 1:
-            out = _plus(out, point)
-        point, k = _plus(point, point), k >> 1
-    return out
+# Points are (X, Y, Z) with x = X / Z^2 and y = Y / Z^3, so that sums need no division; None is the point at infinity.
+
+
+def _double(p):
+    if p is None or not p[1]:
+        return None
+    x, y, z = p
+    yy = y * y % _P
+    s, m = 4 * x * yy % _P, 3 * x * x % _P
+    nx = (m * m - 2 * s) % _P
+    return nx, (m * (s - nx) - 8 * yy * yy) % _P, 2 * y * z % _P
+
+
+def _plus(p, q):
+    if p is None or q is None:
+        return p or q
+    (x1, y1, z1), (x2, y2, z2) = p, q
+    za, zb = z1 * z1 % _P, z2 * z2 % _P
+    u1, u2, s1, s2 = x1 * zb % _P, x2 * za % _P, y1 * zb * z2 % _P, y2 * za * z1 % _P
+    if u1 == u2:
+        return _double(p) if s1 == s2 else None
+    h, r = u2 - u1, s2 - s1
+    hh = h * h % _P
+    hhh, v = h * hh % _P, u1 * hh % _P
+    nx = (r * r - hhh - 2 * v) % _P
+    return nx, (r * (v - nx) - s1 * hhh) % _P, h * z1 * z2 % _P
+
+
+def _combine(a: int, p, b: int = 0, q=None):
+    """The affine point a p + b q, or None: both sums in one run over the bits."""
+    p, q = (*p, 1), None if q is None else (*q, 1)
+    table, out = (None, p, q, _plus(p, q)), None
+    for i in range(max(a.bit_length(), b.bit_length()) - 1, -1, -1):
+        out = _plus(_double(out), table[(a >> i & 1) | (b >> i & 1) << 1])
+    if out is None:
+        return None
+    back = pow(out[2], -1, _P)
+    return out[0] * back * back % _P, out[1] * back * back * back % _P
 
 
 def _lift(x: int):
@@ -136,18 +154,18 @@ def verify(pubkey: str, message: str, signature: str) -> bool:
     if point is None or r >= _P or k >= _N:
         return False
     e = int.from_bytes(_tagged("BIP0340/challenge", s[:32] + key + m)) % _N
-    found = _plus(_times(_G, k), _times(point, _N - e))
+    found = _combine(k, _G, _N - e, point)
     return found is not None and found[1] % 2 == 0 and found[0] == r
 
 
 def sign(secret: int, message: str) -> tuple[str, str]:
     """(pubkey, signature) of a 32-byte message in hexadecimal; for fixtures."""
-    point = _times(_G, secret)
+    point = _combine(secret, _G)
     d = secret if point[1] % 2 == 0 else _N - secret
     key, m = point[0].to_bytes(32), bytes.fromhex(message)
     t = (d ^ int.from_bytes(_tagged("BIP0340/aux", bytes(32)))).to_bytes(32)
     k0 = int.from_bytes(_tagged("BIP0340/nonce", t + key + m)) % _N
-    spot = _times(_G, k0)
+    spot = _combine(k0, _G)
     k = k0 if spot[1] % 2 == 0 else _N - k0
     e = int.from_bytes(_tagged("BIP0340/challenge", spot[0].to_bytes(32) + key + m)) % _N
     return key.hex(), (spot[0].to_bytes(32) + ((k + e * d) % _N).to_bytes(32)).hex()

@@ -102,3 +102,13 @@ def hex_decode(groups: Column, length: Column) -> Column:
     whole = F.slice(groups, F.lit(1), (F.size(groups) / 4).cast("int") * 4)
     text = F.array_join(F.transform(whole, lambda x: F.substring(F.lit(alphabet), x + 1, F.lit(1))), "")
     return F.substring(F.unbase64(text), F.lit(1), length)
+
+
+def element(tag: Column, value: Column, is_ref: bool = False) -> Column:
+    """struct(tag, value, groups, n_bytes, is_ref): an element with its value's 6-bit groups; references shape a structure but are not emitted."""
+    return F.struct(tag.alias("tag"), value.alias("value"), hex_encode(value).alias("groups"), F.octet_length(value).alias("n_bytes"), F.lit(is_ref).alias("is_ref"))
+
+
+def origin(author: Column) -> Column:
+    """The element that says who wrote a text."""
+    return element(F.lit("origin"), author)

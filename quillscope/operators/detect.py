@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import at, bind, longs
+from ..functions.text import fixed
 from ..functions.tokens import CHUNK_BYTES, channels
 from ..functions.vectors import SIZE, walsh
 from .profile import DEPTHS, level_counts
@@ -230,13 +231,26 @@ def verdict_text(verdict: Column) -> Column:
     some = verdict["troll_label"] != ""
     return F.concat(
         F.lit("verdict: "), verdict["label"], F.when(some, F.concat(F.lit(" | "), verdict["troll_label"])).otherwise(""), F.lit("\n"),
-        F.lit("  deep walk avg:    "), F.format_string("%.4f", verdict["deep_walk"]), limit(verdict["deep_walk"], 0.120), F.lit("\n"),
-        F.lit("  long-miss rate:   "), F.format_string("%.1f%%", verdict["long_miss_rate"] * 100), limit(verdict["long_miss_rate"], 0.18), F.lit("\n"),
+        F.lit("  deep walk avg:    "), fixed(verdict["deep_walk"], 4), limit(verdict["deep_walk"], 0.120), F.lit("\n"),
+        F.lit("  long-miss rate:   "), F.concat(fixed(verdict["long_miss_rate"] * 100, 1), F.lit("%")), limit(verdict["long_miss_rate"], 0.18), F.lit("\n"),
         F.lit("  pass hit rates:  "), F.array_join(F.transform(verdict["pass_hits"], percent), " \u2192 "), F.lit("\n"),
-        F.when(some, F.format_string("  troll match:     %.1f%%\n", verdict["troll_score"] * 100)).otherwise(""),
+        F.when(some, F.concat(F.lit("  troll match:     "), fixed(verdict["troll_score"] * 100, 1), F.lit("%\n"))).otherwise(""),
     )
 
 
+def replies(judged: DataFrame, hint: str, topics: list[str], troll_topic: str, extra: Column | None = None) -> DataFrame:
+    """(kind, tags, content) of the note that answers each judged event (``id``, ``pubkey``, ``verdict``): rows for a table; nothing is signed or sent.
+
+    Tags: the event as the one replied to, with ``hint`` as its relay; its author; the topics, and one more where manipulation was found.
+    """
+    pair = lambda *x: F.array(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    fixed_tags = F.array(pair("e", F.col("id"), hint, "reply"), pair("p", F.col("pubkey")), *[pair("t", t) for t in topics])
+    none = F.array().cast("array<array<string>>")
+    tags = F.concat(fixed_tags, F.when(F.col("verdict.troll_label") != "", F.array(pair("t", troll_topic))).otherwise(none))
+    content = verdict_text(F.col("verdict"))
+    return judged.select(F.lit(1).alias("kind"), tags.alias("tags"), (content if extra is None else F.concat(content, extra)).alias("content"))
+
+
 def model_columns(model: Model) -> Column:
     """The model as an array column, for joins in SQL."""
     return F.array(*[longs(list(s)) for s in model.spatial])

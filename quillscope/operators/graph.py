@@ -65,3 +65,14 @@ def stats(graph: DataFrame) -> DataFrame:
     counts = graph.agg(F.count("*").alias("events")).join(top).join(bonds(graph).agg(F.count("*").alias("bonds"))).join(orphans(graph).agg(F.count("*").alias("orphans")))  # one row each
     return counts
 
+
+
+def members(graph: DataFrame) -> DataFrame:
+    """(by, member, id): every event in the cluster of its author and in that of its kind; rows, not lists, so a cluster may be of any size."""
+    both = F.array(F.struct(F.lit("author").alias("by"), F.col("pubkey").alias("member")), F.struct(F.lit("kind").alias("by"), F.col("kind").cast("string").alias("member")))
+    return graph.select(F.inline(both), "id").where("member is not null")
+
+
+def referrers(graph: DataFrame) -> DataFrame:
+    """(type, key, id, pos): who refers to which event or author that is there, a row for each reference, repeated tags too."""
+    return resolve(graph, "left_semi").select("type", "key", "id", "pos")

@@ -6,6 +6,9 @@ of rows with the same key the last written holds.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,7 +65,7 @@ def last_n(rows: DataFrame, order: list[str], n: int, per: str | None = None) ->
         return rows
     down = [F.col(c).desc() for c in order]
     if per is None:
-        return rows.orderBy(*down).limit(n)
+        return rows.orderBy(*down).limit(n).orderBy(*order)
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(per).orderBy(*down))).where(F.col("__n") <= n).drop("__n")
 
 
@@ -170,3 +173,34 @@ def rate_windows(tokens: DataFrame, order: str, new_vertex: Column, size: int =
     w = Window.orderBy("window")  # one row for many tokens
     above = (F.col("vertices") * threshold[1] > F.col("tokens") * threshold[0]).cast("int")
     return full.withColumn("converged", (F.row_number().over(w) >= 3) & (F.max(above).over(w.rowsBetween(-2, 0)) == 0))
+
+
+def bulk_windows(records: DataFrame, order: str, tokens: str, vertices: str, size: int = 100_000) -> DataFrame:
+    """(window, tokens, vertices): windows over records of many tokens each; a record that fills the window closes it with all it holds.
+
+    What one window takes decides where the next begins, so the scan is in order: it runs over one narrow row a record (a
+    file or batch, not a token), in one task.
+    """
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = t = v = 0
+        for frame in frames:
+            rows = []
+            for more_t, more_v in zip(frame["t"], frame["v"], strict=True):
+                t, v = t + more_t, v + more_v
+                if t >= size:
+                    rows.append((n, t, v))
+                    n, t, v = n + 1, 0, 0
+            yield pd.DataFrame(rows, columns=["window", "tokens", "vertices"])
+
+    flat = records.select(F.col(order).alias("o"), F.col(tokens).cast("bigint").alias("t"), F.col(vertices).cast("bigint").alias("v"))
+    return flat.coalesce(1).sortWithinPartitions("o").select("t", "v").mapInPandas(scan, "window bigint, tokens bigint, vertices bigint")
+
+
+def window_report(windows: DataFrame, threshold: tuple[int, int] = (1, 1_000_000), recent: int = 10) -> DataFrame:
+    """One row over full windows (window, tokens, vertices): their number, whether the last three keep to the threshold, and the last ``recent``, the oldest first."""
+    last = windows.orderBy(F.desc("window")).limit(max(recent, 3))
+    high = F.col("vertices") * threshold[1] > F.col("tokens") * threshold[0]
+    rows = F.sort_array(F.collect_list(F.struct("window", "tokens", "vertices", high.alias("high"))))  # at most ten
+    one = last.agg(rows.alias("w")).join(windows.agg(F.count("*").alias("window_count")))  # one row each
+    tail = lambda n: F.slice("w", F.greatest(F.lit(1), F.size("w") - n + 1), n)
+    return one.select("window_count", ((F.col("window_count") >= 3) & ~F.exists(tail(3), lambda x: x["high"])).alias("converged"), F.transform(tail(recent), lambda x: x.dropFields("high")).alias("recent"))

@@ -136,3 +136,18 @@ def balance(w: Column) -> Column:
     """Share of the detail in a spectrum; null where it is all zero."""
     whole = F.abs(dc(w)) + detail_energy(w)
     return F.when(whole > 0, detail_energy(w) / whole)
+
+
+def stats_at(levels: DataFrame, depths: list[int]) -> DataFrame:
+    """(depth, spatial, walsh, total, bond_count, miss_count, total_walk_dist) of the asked depths of a profile; a depth that is none has zeros."""
+    asked = levels.sparkSession.createDataFrame([(d,) for d in depths], "depth int")
+    vectors = ["spatial", "walsh", "bond_count", "miss_count", "total_walk_dist"]
+    zero = F.array_repeat(F.lit(0).cast("bigint"), SIZE)
+    both = asked.join(F.broadcast(levels), "depth", "left")  # eight rows
+    return both.select("depth", *[F.coalesce(c, zero).alias(c) for c in vectors], F.coalesce("total", F.lit(0)).alias("total"))
+
+
+def health(levels: DataFrame, converged: Column) -> DataFrame:
+    """One row: the count of tokens, the root's spectrum, the finest depth's counts, and whether training had converged."""
+    at_depth = lambda d, c: F.max_by(c, F.when(F.col("depth") == d, 1))
+    return levels.agg(at_depth(DEPTHS - 1, "total").alias("token_count"), at_depth(0, "walsh").alias("root_walsh"), at_depth(DEPTHS - 1, "spatial").alias("leaf")).withColumn("converged", converged)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import fixed
+
+# Extensions by extractor, and the columns of the verdict log.
 PLAIN = ["txt", "md", "text", ""]
 PANDOC = ["html", "htm", "docx", "epub", "rtf", "odt", "rst", "latex", "tex", "org"]
 CRAWL_COLUMNS = ["timestamp", "event_id", "pubkey", "human", "confidence", "deep_walk", "long_miss", "troll_score", "label", "troll_label"]
@@ -98,7 +101,7 @@ def extract(files: DataFrame, external=None) -> DataFrame:
 
 def crawl_rows(verdicts: DataFrame) -> DataFrame:
     """The ten columns of the verdict log, numbers with four decimals."""
-    four = lambda c: F.format_string("%.4f", F.col(f"verdict.{c}"))
+    four = lambda c: fixed(F.col(f"verdict.{c}"), 4)
     return verdicts.select(
         F.col("created_at").alias("timestamp"), F.col("id").alias("event_id"), "pubkey", "verdict.human", four("confidence").alias("confidence"), four("deep_walk").alias("deep_walk"),
         four("long_miss_rate").alias("long_miss"), four("troll_score").alias("troll_score"), "verdict.label", "verdict.troll_label",

@@ -18,7 +18,6 @@ from ..session import ship
 Element = tuple[str, str]
 
 # The patterns by which a line of JavaScript is told, in the order in which they are tried.
-_MODS = r"(?:(?:public|private|protected|static|async|readonly)\s+)*"
 _JS_IMPORT_FROM = re.compile(r"""import\s+(?:\{[^}]*\}|[^{;]+)\s+from\s+['"]([^'"]+)['"]""")
 _JS_RULES: list[tuple[str, re.Pattern, tuple[str, ...]]] = [
     ("import", re.compile(r"""import\s+['"]([^'"]+)['"]"""), ("import",)),
@@ -32,7 +31,7 @@ _JS_RULES: list[tuple[str, re.Pattern, tuple[str, ...]]] = [
     ("outside", re.compile(r"(?:export\s+)?(?:const|let|var)\s+(\w+)", re.A), ("ident",)),
     ("member", re.compile(r"^\s+(?:(?:public|private|protected|static)\s+)*get\s+(\w+)\s*\(", re.A), ("method",)),
     ("member", re.compile(r"^\s+(?:(?:public|private|protected|static)\s+)*set\s+(\w+)\s*\(", re.A), ("method",)),
-    ("method", re.compile(rf"^\s+{_MODS}(\w+)\s*\(", re.A), ("method",)),
+    ("method", re.compile(r"^\s+(?:(?:public|private|protected|static|async|readonly)\s+)*(\w+)\s*\(", re.A), ("method",)),
     ("field", re.compile(r"^\s+(?:(?:public|private|protected|static|readonly)\s+)*(\w+)\s*[?!]?\s*:\s*", re.A), ("field",)),
 ]
 _JS_HIDDEN = {"method": {"if", "for", "while", "switch", "return", "constructor", "new", "throw", "catch"}, "field": {"return", "const", "let"}}
@@ -89,6 +88,7 @@ _GO_TOKEN = re.compile(
     r"|(?P<sign><-|:=|\+\+|--|&&|\|\||\.\.\.|[-+*/%&|^<>=!]=|<<|>>|.)", re.S
 )
 _GO_STOPS = {"break", "continue", "fallthrough", "return", "++", "--", ")", "]", "}"}
+# The tag of a statement by its first word.
 _GO_TAGS = {"return": "return", "if": "if", "for": "for", "switch": "switch", "select": "select", "go": "go", "defer": "defer", "var": "decl", "const": "decl", "type": "decl", "break": "branch", "continue": "branch", "goto": "branch", "fallthrough": "branch"}
 _OPEN, _CLOSE = {"(", "[", "{"}, {")", "]", "}"}
 
@@ -325,6 +325,11 @@ def go_elements(text: str) -> list[Element]:
 READERS: dict[str, Callable[[str], list[Element]]] = {"go": go_elements, "js": js_elements}
 
 
+def register_reader(language: str, read: Callable[[str], list[Element]]) -> None:
+    """Make a reader of one's own known to :func:`source_elements`: it gives the (tag, value) of a text in order."""
+    READERS[language] = read
+
+
 def source_elements(files: DataFrame, key: Column, text: Column, language: str) -> DataFrame:
     """(path, pos, tag, value) of each file's elements, file by file in Arrow batches; null texts have none."""
     ship(files.sparkSession)

@@ -151,21 +151,27 @@ def train_until_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prof.train(_human(spark, sf_dir), "doc_id", "text").where("total > 0").select("depth", "spatial")
 
 
-@REGISTRY.add(f"""WITH {TOKENS},
+_FINGER = f"""WITH {TOKENS},
 named AS (SELECT doc_id, source FROM documents WHERE source IS NOT NULL),
 few AS (SELECT doc_id, pos, ch FROM tok WHERE pos <= 50000),
 n AS (SELECT s.doc_id, source, count(t.pos) AS n FROM named s LEFT JOIN few t USING (doc_id) GROUP BY ALL),
 extra AS (SELECT doc_id, source, n + unnest(range(1, greatest(1, 3 * n // 100) + 1)) AS pos, 7 AS ch FROM n),
 own AS (
   SELECT source, ch, row_number() OVER (PARTITION BY source ORDER BY doc_id, pos) AS i
-  FROM (SELECT doc_id, source, pos, ch FROM few JOIN named USING (doc_id) UNION ALL SELECT doc_id, source, pos, ch FROM extra))
+  FROM (SELECT doc_id, source, pos, ch FROM few JOIN named USING (doc_id) UNION ALL SELECT doc_id, source, pos, ch FROM extra))"""
+
+
+@REGISTRY.add(f"""{_FINGER}
 SELECT source, d::INT AS depth, [{", ".join(f"count(*) FILTER (ch = {c})" for c in range(8))}] AS spatial FROM own, range(8) r(d) WHERE i % (1 << (7 - d)::INT) = 0 GROUP BY source, d""")
 def fingerprint_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The profile of each source with its origin tokens."""
     return prof.fingerprint(_docs(spark, sf_dir), "source", "doc_id", "text").where("total > 0").select("source", "depth", "spatial")
 
 
-@REGISTRY.add()
+@REGISTRY.add(f"""{_FINGER}, root AS (SELECT source, {_COUNTS} FROM own WHERE i % 128 = 0 GROUP BY source),
+more AS (SELECT source, count(*) AS origin_tokens FROM extra GROUP BY source)
+SELECT source, CASE WHEN c0 IS NOT NULL THEN round(({"+".join(f"abs({e})" for e in _walsh_sql("c")[1:])})::DOUBLE / nullif(abs({_walsh_sql("c")[0]}) + {"+".join(f"abs({e})" for e in _walsh_sql("c")[1:])}, 0), 6) END AS balance, origin_tokens
+FROM more LEFT JOIN root USING (source)""")
 def balance_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The balance of each source's spectrum at the root."""
     levels = prof.fingerprint(_docs(spark, sf_dir), "source", "doc_id", "text").where("depth = 0")
@@ -255,11 +261,3 @@ SELECT round(100.0::DOUBLE * count(*) FILTER (is_human AND human) / count(*) FIL
 def balanced_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy on human and machine text and their mean."""
     return balanced(_verdicts(spark, sf_dir).select(F.col("model").isNull().alias("is_human"), "verdict.*"))
-
-
-@REGISTRY.add()
-def verdict_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdict on every document as text."""
-    docs = _docs(spark, sf_dir).select("doc_id", "text")
-    model = det.Model.from_rows(train_model(spark, sf_dir))
-    return det.detect(docs, "text", model, troll=model).select("doc_id", det.verdict_text(F.col("verdict")).alias("report"))
