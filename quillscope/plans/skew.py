@@ -6,6 +6,8 @@ same result comes from a salted shuffle join.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ HOT_KEYS = 100_000
 BROADCAST_ROWS = 100_000
 #: Pieces over which an input is spread that its scan cuts into fewer.
 PIECES = 16
-#: Bits of a bitmap of key hashes: 16 MB, whatever the data.
+#: Bits of a bitmap of key hashes at most: 16 MB, whatever the data.
 BITMAP_BITS = 1 << 27
 _WORD = 1 << 15
 
@@ -79,22 +81,37 @@ def lookup(df: DataFrame, table: DataFrame, on: str | list[str], how: str = "lef
     return salted_join(df, table, names, how, hot_keys(df, names), varies)
 
 
-def bitmap(keys: DataFrame, *columns: str) -> DataFrame:
-    """A bitmap of the hashes of ``columns``, in pieces of 4 KB: at most 16 MB, whatever the number of keys."""
-    place = keys.select(F.pmod(F.xxhash64(*columns), F.lit(BITMAP_BITS)).alias("p"))
-    return place.groupBy(F.expr(f"cast(p div {_WORD} as int)").alias("__piece")).agg(F.bitmap_construct_agg(F.col("p") % _WORD).alias("__bits"))
+class Bitmap(NamedTuple):
+    """Which hashes of keys occur, in pieces of 4 KB."""
+
+    pieces: DataFrame
+    bits: int
+
+
+def bitmap(keys: DataFrame, *columns: str) -> Bitmap:
+    """A bitmap of the hashes of ``columns``, of 16 bits a row up to :data:`BITMAP_BITS`: at most 16 MB, whatever the number of keys.
+
+    The rows are counted first, so they should be a written table.
+    """
+    bits = _WORD
+    rows = 16 * keys.count()
+    while bits < min(rows, BITMAP_BITS):
+        bits *= 2
+    place = keys.select(F.pmod(F.xxhash64(*columns), F.lit(bits)).alias("p"))
+    pieces = place.groupBy(F.expr(f"cast(p div {_WORD} as int)").alias("__piece")).agg(F.bitmap_construct_agg(F.col("p") % _WORD).alias("__bits"))
+    return Bitmap(pieces, bits)
 
 
-def with_maybe(df: DataFrame, bits: DataFrame, columns: list[str], flag: str = "__maybe") -> DataFrame:
+def with_maybe(df: DataFrame, known: Bitmap, columns: list[str], flag: str = "__maybe") -> DataFrame:
     """Adds ``flag``: false if the key is surely not in the bitmap's set. Rows stay where they lie.
 
     A key that is in the set is always flagged; others are by chance, with the share of bits that are set. Whoever uses
     the flag must settle the flagged rows exactly.
     """
-    placed = df.withColumn("__p", F.pmod(F.xxhash64(*[f"`{c}`" for c in columns]), F.lit(BITMAP_BITS))).withColumn("__piece", F.expr(f"cast(__p div {_WORD} as int)"))
+    placed = df.withColumn("__p", F.pmod(F.xxhash64(*[f"`{c}`" for c in columns]), F.lit(known.bits))).withColumn("__piece", F.expr(f"cast(__p div {_WORD} as int)"))
     byte = F.conv(F.hex(F.substring("__bits", F.expr(f"cast(__p % {_WORD} div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("int")
     test = F.getbit(byte, F.expr("cast(__p % 8 as int)")) == 1
-    return placed.join(F.broadcast(bits), "__piece", "left").withColumn(flag, F.coalesce(test, F.lit(False))).drop("__p", "__piece", "__bits")
+    return placed.join(F.broadcast(known.pieces), "__piece", "left").withColumn(flag, F.coalesce(test, F.lit(False))).drop("__p", "__piece", "__bits")
 
 
 def blocked_sum(df: DataFrame, group: list[str], block: str, order: list[str], values: dict[str, str]) -> DataFrame:
