@@ -58,6 +58,24 @@ def _has_tag(name: str, values: list[str]) -> Column:
     return F.exists("tags", lambda t: F.coalesce((F.get(t, F.lit(0)) == F.lit(name)) & F.get(t, F.lit(1)).isin(*values), F.lit(False)))
 
 
+# The signs that have an escape of their own in a quoted literal.
+_ESCAPES = {"\\": "\\\\", '"': '\\"', "\a": "\\a", "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\v": "\\v"}
+
+
+def quoted(text: Column) -> Column:
+    """A text as a literal in double quotes: signs that do not show as escapes, by name or by number."""
+    table = F.create_map(*[F.lit(x) for pair in _ESCAPES.items() for x in pair])
+
+    def sign(x: Column) -> Column:
+        code = F.ascii(x)
+        number = F.when(code < 128, F.concat(F.lit("\\x"), F.lpad(F.lower(F.hex(code)), 2, "0"))).when(code < 65536, F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(code)), 4, "0")))
+        number = number.otherwise(F.concat(F.lit("\\U"), F.lpad(F.lower(F.hex(code)), 8, "0")))
+        return F.coalesce(F.try_element_at(table, x), F.when(x.rlike(r"[\p{C}\p{Z}]") & (x != " "), number).otherwise(x))
+
+    body = F.when(text.rlike(r'[\\"\p{C}\x{A0}-\x{10FFFF}]'), F.array_join(F.transform(F.split(text, ""), sign), "")).otherwise(text)
+    return F.concat(F.lit('"'), body, F.lit('"'))
+
+
 def elements() -> Column:
     """Array of (tag, value) of an event: id, author, kind, words, a short content, tags, time."""
     def pair(tag: str, value: Column) -> Column:
@@ -65,7 +83,7 @@ def elements() -> Column:
 
     content = F.coalesce(F.col("content"), F.lit(""))
     words = F.filter(F.split(F.trim(content), r"\s+"), lambda w: F.octet_length(w) > 2)
-    literal = F.when((F.octet_length(content) > 10) & (F.octet_length(content) < 200), F.array(pair("literal", F.concat(F.lit('"'), F.replace(F.replace(F.replace(content, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit('"'))))).otherwise(F.array().cast("array<struct<tag:string,value:string>>"))
+    literal = F.when((F.octet_length(content) > 10) & (F.octet_length(content) < 200), F.array(pair("literal", quoted(content)))).otherwise(F.array().cast("array<struct<tag:string,value:string>>"))
     named = F.filter(F.coalesce(F.col("tags"), F.array().cast("array<array<string>>")), lambda t: F.size(t) >= 2)
 
     def tagged(t: Column) -> Column:

@@ -252,7 +252,8 @@ def signed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 x AS (
   SELECT 'event' AS tag, substr(id, 1, 16) AS value FROM e UNION ALL SELECT 'pubkey', pubkey FROM e UNION ALL SELECT 'kind', kind::VARCHAR FROM e UNION ALL SELECT 'timestamp', created_at::VARCHAR FROM e
   UNION ALL SELECT 'word', w FROM (SELECT unnest(regexp_split_to_array(trim(c, ' '), '[ \t\n\x0B\f\r]+')) AS w FROM e) WHERE strlen(w) > 2
-  UNION ALL SELECT 'literal', '"' || replace(replace(replace(c, '\', '\\'), '"', '\"'), chr(10), '\n') || '"' FROM e WHERE strlen(c) > 10 AND strlen(c) < 200
+  UNION ALL SELECT 'literal', '"' || array_to_string(list_transform(string_split(c, ''), lambda x: CASE x WHEN '\' THEN '\\' WHEN '"' THEN '\"' WHEN chr(7) THEN '\a' WHEN chr(8) THEN '\b' WHEN chr(12) THEN '\f' WHEN chr(10) THEN '\n' WHEN chr(13) THEN '\r' WHEN chr(9) THEN '\t' WHEN chr(11) THEN '\v' WHEN ' ' THEN ' '
+    ELSE CASE WHEN regexp_matches(x, '[\p{C}\p{Z}]') THEN CASE WHEN unicode(x) < 128 THEN printf('\x%02x', unicode(x)) WHEN unicode(x) < 65536 THEN printf('\u%04x', unicode(x)) ELSE printf('\U%08x', unicode(x)) END ELSE x END END), '') || '"' FROM e WHERE strlen(c) > 10 AND strlen(c) < 200
   UNION ALL SELECT CASE t[1] WHEN 'e' THEN 'e-tag' WHEN 'p' THEN 'p-tag' WHEN 't' THEN 'hashtag' ELSE 'tag' END, CASE WHEN t[1] IN ('e', 'p', 't') THEN t[2] ELSE concat_ws(':', t[1], t[2]) END FROM (SELECT unnest(tags) AS t FROM e) WHERE len(t) >= 2)
 SELECT tag, value, count(*) AS n FROM x GROUP BY ALL""")
 def event_elements(spark: SparkSession, sf_dir: str) -> DataFrame:

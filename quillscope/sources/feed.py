@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.events import SCHEMA, long_enough, valid_id, valid_sig
+from ..functions.events import SCHEMA, long_enough, matches, valid_id, valid_sig
 from ..functions.keys import norm_key
 from ..session import ship
 
@@ -38,3 +38,9 @@ def verified(events: DataFrame, signed_only: bool = True) -> DataFrame:
         return fits
     ship(events.sparkSession)
     return fits.where(valid_sig(norm_key(F.col("pubkey")), norm_key(F.col("id")), norm_key(F.col("sig"))))
+
+
+def subscribe(events: DataFrame, limit: int | None = None, **fields) -> DataFrame:
+    """The events that a subscription asks for (fields as in :func:`..functions.events.matches`); with a ``limit`` the newest so many, ties by id."""
+    found = events.where(matches(**fields))
+    return found if limit is None else found.orderBy(F.desc("created_at"), norm_key(F.col("id"))).limit(limit)
