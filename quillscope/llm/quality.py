@@ -90,7 +90,6 @@ def _lines(text: Column) -> Column:
         with_words,
         lambda x: F.struct(
             *[x[f].alias(f) for f in ("n", "mark", "c", "size", "w")], F.size(x["w"]).alias("k"), common_words(x["w"]).alias("common"), x["c"].rlike(_END).alias("end"),
-            (count_chars(x["c"], r"[^\p{Nd}]+") / F.greatest(x["size"], F.lit(1))).alias("digit_share"),
         ),
     )
 
@@ -100,7 +99,7 @@ def _lines(text: Column) -> Column:
         distinct = F.size(F.array_distinct(x["w"])) > 0.5 * k
         statistics = {
             "entry_words": F.when(x["mark"] & ~x["end"], k).otherwise(1 << 30),
-            "digit_share": x["digit_share"],
+            "digit_share": count_chars(x["c"], r"[^\p{Nd}]+") / size,
             "varied": F.when(k < 12, 1).otherwise(distinct.cast("int")),
             "symbol_share": count_chars(x["c"], CHARS) / size,
             "linkless_share": count_chars(x["c"], _LINK) / size,
