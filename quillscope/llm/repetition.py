@@ -35,11 +35,14 @@ NAMES = [
 
 
 def covered_words(w: Column, run: int = RUN) -> Column:
-    """How many words lie in runs of ``run`` words that began at an earlier word too; in n log n steps."""
-    def of(w: Column) -> Column:
-        place = F.sequence(F.lit(0), F.size(w) - run)
-        hashed = F.transform(place, lambda i: F.struct(F.xxhash64(*[F.get(w, i + k) for k in range(run)]).alias("h"), i.alias("i")))
-        return bind(F.sort_array(hashed), again)
+    """How many words lie in runs of ``run`` words that began at an earlier word too; in n log n steps, and in n where no run occurs twice."""
+    def of(words_hashed: Column) -> Column:
+        place = F.sequence(F.lit(0), F.size(words_hashed) - run)
+        return bind(F.transform(place, lambda i: F.xxhash64(*[F.get(words_hashed, i + k) for k in range(run)])), counted)
+
+    def counted(h: Column) -> Column:
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(bind(placed, again))
 
     def again(s: Column) -> Column:
         later = F.filter(F.transform(s, lambda x, k: F.when((k > 0) & (F.get(s, k - 1)["h"] == x["h"]), x["i"])), lambda x: x.isNotNull())
@@ -47,7 +50,7 @@ def covered_words(w: Column, run: int = RUN) -> Column:
         step = lambda a, p: F.struct((a["n"] + F.least(F.lit(run), p - a["last"])).alias("n"), p.alias("last"))
         return F.aggregate(F.sort_array(later), start, step, lambda a: a["n"])
 
-    return F.when(F.size(w) >= run, bind(w, of)).otherwise(0)
+    return F.when(F.size(w) >= run, bind(F.transform(w, lambda x: F.xxhash64(x)), of)).otherwise(0)
 
 
 def _repeated_share(parts: Column) -> Column:
