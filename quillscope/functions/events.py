@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .keys import norm_key
+from .text import fixed
 
 # Fixed values of the secp256k1 curve (public standard).
 _P = 2**256 - 2**32 - 977
@@ -95,6 +96,26 @@ def elements() -> Column:
     return F.concat(head, F.transform(words, lambda w: pair("word", w)), literal, F.transform(named, tagged), F.array(pair("timestamp", F.col("created_at").cast("string"))))
 
 
+def metadata_note(app: str, instance: Column, generation: Column, snapshot: Column) -> Column:
+    """struct(kind, tags, content): the profile of a running instance, unsigned; of the snapshot's hash the first 16 signs are shown."""
+    text = lambda c: c.cast("string")
+    about = F.concat(F.lit(f"{app} lattice organism, generation "), text(generation), F.lit(", spore "), F.substring(snapshot, 1, 16))
+    content = F.to_json(F.struct(F.concat(F.lit(f"{app}-inst"), text(instance)).alias("name"), about.alias("about")))
+    return F.struct(F.lit(0).alias("kind"), F.array().cast("array<array<string>>").alias("tags"), content.alias("content"))
+
+
+def status_note(app: str, instance: Column, generation: Column, nodes: Column, occupied: Column, occupancy: Column, fitness: Column, peers: Column) -> Column:
+    """struct(kind, tags, content): the state of a running instance, unsigned."""
+    text = lambda c: c.cast("string")
+    tag = lambda c: F.array(F.lit("t"), c)
+    content = F.concat(
+        F.lit(f"{app} inst"), text(instance), F.lit(" gen"), text(generation), F.lit(": "), text(nodes), F.lit(" nodes, "), text(occupied), F.lit(" occupied ("), fixed(occupancy * 100, 0),
+        F.lit("%), fitness="), fixed(fitness, 3), F.lit(", "), text(peers), F.lit(" peers"),
+    )
+    tags = F.array(tag(F.lit(app)), tag(F.lit("lattice")), tag(F.concat(F.lit("gen"), text(generation))))
+    return F.struct(F.lit(1).alias("kind"), tags.alias("tags"), content.alias("content"))
+
+
 def normal_url(url: Column) -> Column:
     """A relay's address without spaces around and slashes at its end; null if it is none or local."""
     trimmed = F.regexp_replace(F.regexp_replace(url, r"^\s+|\s+$", ""), "/+$", "")

@@ -313,3 +313,14 @@ def go_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = source_code.source_elements(docs, F.concat(n, F.lit(".go")), F.col("text"), "go")
     wanted = ["package", "import", "struct", "method", "return", "if", "expr", "ident:type-name", "ident:method-name", "ident:receiver", "ident:param", "ident:result", "ident:field-name", "ident:var-name"]
     return each.where(F.col("tag").isin(wanted)).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@REGISTRY.add("""SELECT p_partkey, '{"name":"app-inst' || p_partkey || '","about":"app lattice organism, generation ' || p_size || ', spore ' || substr(md5(p_name), 1, 16) || '"}' AS profile,
+  printf('app inst%d gen%d: %d nodes, %d occupied (%.0f%%), fitness=%.3f, %d peers', p_partkey, p_size::BIGINT, 64::BIGINT, p_size::BIGINT, p_size::DOUBLE / 64 * 100, p_retailprice::DOUBLE / 7, p_partkey % 9) AS status,
+  [['t', 'app'], ['t', 'lattice'], ['t', 'gen' || p_size]] AS tags FROM part""")
+def instance_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile and the state of an instance, one made for each part."""
+    rows = load(spark, sf_dir, "part")
+    profile = ev.metadata_note("app", F.col("p_partkey"), F.col("p_size"), F.md5("p_name"))
+    status = ev.status_note("app", F.col("p_partkey"), F.col("p_size"), F.lit(64), F.col("p_size"), F.col("p_size") / F.lit(64.0), F.col("p_retailprice").cast("double") / 7, F.col("p_partkey") % 9)
+    return rows.select("p_partkey", profile["content"].alias("profile"), status["content"].alias("status"), status["tags"].alias("tags"))

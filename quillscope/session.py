@@ -35,10 +35,13 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 _SHIPPED: set[str] = set()
+#: Bytes of an Arrow batch at most (but for a single larger row), so that batches of long texts fit a worker's memory.
+ARROW_BYTES = 16 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers of all executors, once for each application."""
+    """Send this package to the Python workers of all executors, once for each application, and bound their batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         package = Path(__file__).resolve().parent

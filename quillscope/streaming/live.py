@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.events import long_enough, normal_url
 from ..functions.keys import norm_key
@@ -14,6 +16,27 @@ from ..operators.detect import Model, detect, triggered
 from ..operators.orphans import OrphanTracker
 
 
+def keep_running(start: Callable[[], StreamingQuery], first: float = 1.0, most: float = 60.0, tries: int | None = None, sleep: Callable[[float], None] = time.sleep) -> int:
+    """Start a query again whenever it fails, after a pause of ``first`` seconds that doubles up to ``most``; gives the number of failures once it ends well.
+
+    A query that made progress before it failed starts over with the first pause. State and place come from its checkpoint. After
+    ``tries`` failures in a row the last one is raised.
+    """
+    failures = row = 0
+    while True:
+        query = None
+        try:
+            query = start()
+            query.awaitTermination()
+            return failures
+        except Exception:
+            row = 1 if query is not None and query.lastProgress else row + 1
+            failures += 1
+            if tries is not None and row >= tries:
+                raise
+            sleep(min(most, first * 2 ** (row - 1)))
+
+
 def with_time(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     """Adds ``at`` from created_at and a watermark."""
     return stream.withColumn("at", F.timestamp_seconds("created_at")).withWatermark("at", late)

@@ -116,3 +116,20 @@ def test_crawl_rows(spark, tmp_path):
         files.write_crawl_csv(judged, str(tmp_path / "log"))
     back = spark.read.csv(str(tmp_path / "log"), header=True)
     assert back.columns == files.CRAWL_COLUMNS and back.count() == 2 and back.first()["confidence"] == "1.0000"
+
+
+def test_a_query_is_started_again():
+    from quillscope.streaming.live import keep_running
+
+    class Query:
+        def __init__(self, fails, progress=None):
+            self.fails, self.lastProgress = fails, progress
+
+        def awaitTermination(self):
+            if self.fails:
+                raise OSError("gone")
+
+    runs, pauses = iter([Query(True)] * 4 + [Query(True, {"batchId": 3}), Query(True), Query(False)]), []
+    assert keep_running(lambda: next(runs), most=5, sleep=pauses.append) == 6 and pauses == [1, 2, 4, 5, 1, 2]
+    with pytest.raises(OSError):
+        keep_running(lambda: Query(True), tries=2, sleep=lambda _: None)
