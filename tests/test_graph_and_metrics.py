@@ -79,7 +79,7 @@ def test_digest(spark):
 
 def test_rate_windows(spark):
     rows = spark.range(350).select("id", (F.col("id") < 50).alias("v"))
-    got = mt.rate_windows(rows, "id", F.col("v"), 100, (1, 100), block=64).orderBy("window").collect()
+    got = mt.rate_windows(rows, "id", F.col("v"), 100, (1, 100)).orderBy("window").collect()
     assert [(r["tokens"], r["vertices"], r["converged"]) for r in got] == [(100, 50, False), (100, 0, False), (100, 0, False)]
     more = mt.rate_windows(spark.range(400).select("id", (F.col("id") < 50).alias("v")), "id", F.col("v"), 100, (1, 100))
     assert more.where("window = 3").first()["converged"]
@@ -94,7 +94,7 @@ def test_reports(spark):
 
 
 def test_samplers(spark):
-    assert sorted(r[0] for r in sm.every_kth(spark.range(10), "id", 3, block=4).collect()) == [0, 3, 6]
+    assert sorted(r[0] for r in sm.every_kth(spark.range(10), "id", 3).collect()) == [0, 3, 6]
     assert sm.every_kth(spark.range(2), "id", 5).count() == 2
     rows = spark.range(1000).withColumn("g", F.col("id") % 3)
     once, again = sm.per_group(rows, "g", F.col("id"), 7), sm.per_group(rows.repartition(5), "g", F.col("id"), 7)

@@ -27,7 +27,7 @@ def test_bitmap_forgets_nothing(spark):
     keys = spark.range(0, 3_000, 3).withColumnRenamed("id", "k")
     flagged = with_maybe(spark.range(3_000).withColumnRenamed("id", "k"), bitmap(keys, "k"), ["k"])
     yes = {r["k"] for r in flagged.where("__maybe").collect()}
-    assert yes >= set(range(0, 3_000, 3)) and len(yes) < 1_050
+    assert yes >= set(range(0, 3_000, 3)) and len(yes) < 1_250  # a sixteenth of the others by chance
 
 
 def test_running_sums_over_many_blocks(spark):
