@@ -203,7 +203,7 @@ def reading_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mt.oracle_history(rows, 25)
 
 
-_BULK = """WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS i, o_orderkey % 100 AS t, (o_orderkey % 7 = 0)::BIGINT AS v FROM orders),
+_BULK = """WITH RECURSIVE r AS MATERIALIZED (SELECT row_number() OVER (ORDER BY o_orderkey) AS i, o_orderkey % 100 AS t, (o_orderkey % 7 = 0)::BIGINT AS v FROM orders),
 scan(i, w, t, v, full_t, full_v) AS (
   SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, NULL::BIGINT, NULL::BIGINT
   UNION ALL
@@ -213,7 +213,7 @@ scan(i, w, t, v, full_t, full_v) AS (
 win AS (SELECT w - 1 AS "window", full_t AS tokens, full_v AS vertices FROM scan WHERE full_t IS NOT NULL)"""
 
 
-@REGISTRY.add()
+@REGISTRY.add(_BULK + ' SELECT "window", tokens, vertices FROM win')
 def bulk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of at least 5,000 tokens over records of many; orders stand for them."""
     rows = load(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 100).alias("t"), (F.col("o_orderkey") % 7 == 0).cast("bigint").alias("v"))
