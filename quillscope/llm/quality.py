@@ -123,11 +123,13 @@ def _total(lines: Column, f) -> Column:
     return F.aggregate(lines, F.lit(0).cast("bigint"), lambda a, y: a + f(y))
 
 
-def statistics(text: Column) -> Column:
-    """A struct of the statistics :data:`NAMES` of a text; null for a null text. Shares of nothing are 0.
+def statistics(text: Column, names: list[str] = NAMES) -> Column:
+    """A struct of statistics of a text, all of :data:`NAMES` or some; null for a null text. Shares of nothing are 0.
 
     A text is natural if common words are frequent among its flowing lines, or if these repeat themselves.
     """
+    by_words = {"n_words", "mean_word_length", "mark_word_ratio", "alpha_word_share", "n_common_words", "common_word_share"} & set(names)
+
     def of(x: Column) -> Column:
         lines = x["lines"]
         sums = {
@@ -136,7 +138,8 @@ def statistics(text: Column) -> Column:
             "ends": lambda y: (y["full"] & y["end"]).cast("int"), "marks": lambda y: (y["full"] & y["mark"]).cast("int"),
             "dots": lambda y: (y["full"] & y["dots"]).cast("int"), "short": lambda y: (y["full"] & y["short"]).cast("int"),
         }
-        return bind(F.struct(words(x["text"]).alias("w"), lines.alias("lines"), x["text"].alias("text"), *[_total(lines, f).alias(n) for n, f in sums.items()]), counted)
+        all_words = words(x["text"]) if by_words else F.array().cast("array<string>")
+        return bind(F.struct(all_words.alias("w"), lines.alias("lines"), x["text"].alias("text"), *[_total(lines, f).alias(n) for n, f in sums.items()]), counted)
 
     def counted(x: Column) -> Column:
         lengths = F.aggregate(x["w"], F.lit(0).cast("bigint"), lambda a, y: a + F.length(y))
@@ -157,14 +160,16 @@ def statistics(text: Column) -> Column:
             "short_line_share": share(x["short"], x["n_lines"]), "n_common_words": x["common"].cast("bigint"), "common_word_share": share(x["common"], x["n_words"]),
             "n_braces": F.regexp_count(x["text"], F.lit(r"[{}]")), "prose_share": prose,
         }
-        return F.struct(*[values[n].alias(n) for n in NAMES])
+        return F.struct(*[values[n].alias(n) for n in names])
 
     return F.when(text.isNotNull(), bind(F.struct(_lines(text).alias("lines"), text.alias("text")), of))
 
 
 def is_no_prose(text: Column) -> Column:
-    """Whether a text fails :data:`RULES` as no prose, as a condition that evaluates the statistics once; false for null."""
-    return F.coalesce(F.exists(measured(RULES, statistics(text), NAMES), lambda s: F.array_contains(s["reasons"], NO_PROSE)), F.lit(False))
+    """Whether a text fails :data:`RULES` as no prose, as a condition that evaluates the statistics which that takes once; false for null."""
+    rules = [r for r in RULES if r.reason == NO_PROSE]
+    names = sorted({x for r in rules for x in (r.statistic, *(r.least or ())[:1])})
+    return F.coalesce(F.exists(measured(rules, statistics(text, names), names), lambda s: F.array_contains(s["reasons"], NO_PROSE)), F.lit(False))
 
 
 def judge(records: DataFrame, key: dict[str, Column], text: Column) -> DataFrame:
