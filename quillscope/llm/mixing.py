@@ -187,7 +187,8 @@ def mix(
     total = int(goal["tokens"][usable].sum()) if total_tokens is None else total_tokens
     n_slots = min(-(-total // block_tokens), int(caps[usable].sum()))
     slots = scratch.write(_slots(spark, goal, weights, caps, n_slots, shard_slots, seed), "slots")
-    out = blocks.join(slots, ["source", "block_no"], "inner").select(
+    # Slots grow with the data, and the size of their compressed files says little: never a broadcast.
+    out = blocks.join(slots.hint("merge"), ["source", "block_no"], "inner").select(
         "shard", "slot", "source", "block_no", "round", (F.octet_length("ids") / width).cast("int").alias("n_tokens"), "ids", "docs"
     )
     return out, _report(spark, goal, slots, block_tokens, total)
