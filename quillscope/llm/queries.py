@@ -274,7 +274,7 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.add()
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_texts(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), F.col("doc_id"), F.col("text"))
+    return encode_texts(load(spark, sf_dir, "documents").select("doc_id", "text"), F.col("doc_id"), F.col("text"))
 
 
 @REGISTRY.add()

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.skew import spread
 from ..session import ship
 
 #: Folder of the public vocabularies; a parameter everywhere.
@@ -147,7 +148,8 @@ def encode_texts(df: DataFrame, key: Column, text: Column, name: str = "byte_bpe
             yield pa.RecordBatch.from_arrays([*columns, _lists(ids)], names=[*batch.schema.names[:-1], "ids"])
 
     long = F.length("text") > chunk
-    short = rows.where(~F.coalesce(long, F.lit(False))).mapInArrow(encode, f"doc_id {id_type}, ids array<int>")
+    # Chunks of long texts are spread by themselves.
+    short = spread(rows.where(~F.coalesce(long, F.lit(False)))).mapInArrow(encode, f"doc_id {id_type}, ids array<int>")
 
     def encode_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocab.value)
@@ -167,7 +169,6 @@ def encode_texts(df: DataFrame, key: Column, text: Column, name: str = "byte_bpe
         .select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
         .select("doc_id", "row", F.posexplode(cut).alias("n", "text"))
     )
-    spread = chunks.repartition("row", "n")
-    parts = spread.mapInArrow(encode_chunks, f"doc_id {id_type}, row bigint, n int, text string, ids array<int>")
+    parts = chunks.repartition("row", "n").mapInArrow(encode_chunks, f"doc_id {id_type}, row bigint, n int, text string, ids array<int>")
     joined = parts.groupBy("doc_id", "row").applyInArrow(put_together, f"doc_id {id_type}, ids array<int>")
     return short.unionByName(joined)
