@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fixed
+from ..session import ship
 
 # Extensions by extractor, and the columns of the verdict log.
 PLAIN = ["txt", "md", "text", ""]
@@ -13,12 +19,47 @@ PANDOC = ["html", "htm", "docx", "epub", "rtf", "odt", "rst", "latex", "tex", "o
 CRAWL_COLUMNS = ["timestamp", "event_id", "pubkey", "human", "confidence", "deep_walk", "long_miss", "troll_score", "label", "troll_label"]
 
 
-def binary_files(spark: SparkSession, folder: str) -> DataFrame:
+def _hidden(spark: SparkSession, folder: str) -> tuple[list[str], list[tuple[str, int]]]:
+    """(folders, files with their sizes) below a folder whose names start with a dot or an underscore, which Spark's listing leaves out.
+
+    Each depth is listed by one pattern where the files are; only what it matches comes here.
+    """
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folders, found, level = [], [], folder.rstrip("/")
+    while True:
+        for status in fs.globStatus(fs_path(level + "/{.,_}*")) or []:
+            if status.isDirectory():
+                folders.append(status.getPath().toString())
+            else:
+                found.append((status.getPath().toString(), status.getLen()))
+        level += "/*"
+        if not fs.globStatus(fs_path(level + "/*")):
+            return folders, found
+
+
+def _read_bytes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        content = []
+        for path in frame["path"]:
+            local = re.match(r"file:/+", path)
+            fs, name = (pa_fs.LocalFileSystem(), "/" + path[local.end() :]) if local else pa_fs.FileSystem.from_uri(path)
+            with fs.open_input_stream(name) as f:
+                content.append(f.read())
+        yield frame.assign(content=content)
+
+
+def binary_files(spark: SparkSession, folder: str, hidden: bool = True) -> DataFrame:
     """(path, rel, length, content, ext): every file below a folder; content is read only if it is used.
 
-    Spark's listing leaves out names that start with a dot or an underscore, for every walk below.
+    Names that start with a dot or an underscore are listed too unless ``hidden`` is false (then a plain listing by Spark is all).
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    folders, single = _hidden(spark, folder) if hidden else ([], [])
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([folder, *folders]).select("path", "length", "content")
+    if single:
+        ship(spark)
+        names = spark.createDataFrame(single, "path string, length bigint")
+        files = files.unionByName(names.mapInPandas(_read_bytes, "path string, length bigint, content binary"))
     root = folder.rstrip("/").split("://")[-1]
     rel = F.regexp_replace(F.col("path"), "^.*?" + _literal(root) + "/", "")
     ext = F.lower(F.regexp_extract(F.get(F.split("path", "/"), F.size(F.split("path", "/")) - 1), r"\.([^.]*)$", 1))

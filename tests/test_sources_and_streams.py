@@ -31,8 +31,8 @@ def folder(tmp_path):
 def test_walks(spark, folder):
     train = files.train_corpus(spark, folder)
     assert [r["rel"] for r in train.select("rel").orderBy(files.walk_order()).collect()] == ["a/b.txt", "a.txt", "c/data.bin", "c/page.html"]
-    assert [r["rel"] for r in files.text_corpus(spark, folder, 2).select("rel").collect()] == ["a/b.txt", "a.txt"]
-    assert {(r["model"], r["rel"]) for r in files.tiers(spark, folder).collect()} == {("a", "a/b.txt")}
+    assert [r["rel"] for r in files.text_corpus(spark, folder, 2).select("rel").collect()] == ["a/.hidden.txt", "a/b.txt"]
+    assert {(r["model"], r["rel"]) for r in files.tiers(spark, folder).collect()} == {("a", "a/b.txt"), ("a", "a/.hidden.txt")}
     assert {r["rel"] for r in files.binary_files(spark, folder).where(~files.is_text(F.col("content"))).collect()} == {"c/data.bin"}
 
 
@@ -133,3 +133,13 @@ def test_a_query_is_started_again():
     assert keep_running(lambda: next(runs), most=5, sleep=pauses.append) == 6 and pauses == [1, 2, 4, 5, 1, 2]
     with pytest.raises(OSError):
         keep_running(lambda: Query(True), tries=2, sleep=lambda _: None)
+
+
+def test_hidden_names_are_walked_as_they_should_be(spark, tmp_path):
+    for name in ("_a.txt", ".b.txt", "c.txt", "_sub/d.txt", "_sub/deep/_e.txt", ".dot/f.txt", "x/y/.g.txt", "x/_h/i.txt", "x/_h/j.bin"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode() * 40)
+    every = {r["rel"]: bytes(r["content"]) for r in files.text_corpus(spark, str(tmp_path)).collect()}
+    assert every == {n: n.encode() * 40 for n in ("_a.txt", ".b.txt", "c.txt", "_sub/d.txt", "_sub/deep/_e.txt", ".dot/f.txt", "x/y/.g.txt", "x/_h/i.txt")}
+    assert {r["rel"] for r in files.train_corpus(spark, str(tmp_path)).collect()} == {"_a.txt", "c.txt", "_sub/d.txt", "_sub/deep/_e.txt", "x/_h/i.txt", "x/_h/j.bin"}
+    assert {r["rel"] for r in files.binary_files(spark, str(tmp_path), hidden=False).collect()} == {"c.txt"}
