@@ -280,7 +280,25 @@ def relay_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.relay_pool(load(spark, sf_dir, "nostr_event")).select("url", F.unix_micros("first_seen").alias("first_us"))
 
 
-@REGISTRY.add()
+_NIBBLES = "['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111']"
+_FOLD = "xor(((c & 33554431) << 5), v)"
+for _i, _g in enumerate(("996825010", "642813549", "513874426", "1027748829", "705979059")):  # the generator of the checksum (public standard)
+    _FOLD = f"xor({_FOLD}, CASE WHEN (c >> {25 + _i}) & 1 = 1 THEN {_g} ELSE 0 END)"
+
+
+@REGISTRY.add(f"""WITH r AS (SELECT delivery_id, {_N.format("id")} AS id, relay, {_N.format("pubkey")} AS pubkey, kind FROM nostr_event),
+h AS (
+  SELECT delivery_id, id, '0020' || id || CASE WHEN relay <> '' AND strlen(relay) < 256 THEN '01' || lower(lpad(to_hex(strlen(relay)), 2, '0')) || lower(hex(encode(relay))) ELSE '' END
+    || CASE WHEN pubkey <> '' THEN '02' || lower(lpad(to_hex(length(pubkey) // 2), 2, '0')) || pubkey ELSE '' END || CASE WHEN kind IS NOT NULL THEN '0304' || lower(lpad(to_hex(kind), 8, '0')) ELSE '' END AS h,
+    pubkey IS NULL OR (regexp_matches(pubkey, '^[0-9a-f]*$') AND length(pubkey) % 2 = 0) AS ok
+  FROM r WHERE regexp_matches(id, '^[0-9a-f]{{64}}$')),
+b AS (SELECT *, array_to_string(list_transform(string_split(h, ''), lambda x: {_NIBBLES}[instr('0123456789abcdef', x)]), '') AS b FROM h),
+w AS (
+  SELECT *, list_transform(range(0, (length(b) + 4) // 5), lambda i: list_sum(list_transform(range(5), lambda k: CASE WHEN substr(b, i * 5 + k + 1, 1) = '1' THEN 1 << (4 - k)::INT ELSE 0 END))::BIGINT) AS w FROM b),
+s AS (
+  SELECT *, xor(list_reduce([1]::BIGINT[] || list_transform(string_split('nevent', ''), lambda x: (ascii(x) >> 5)::BIGINT) || [0]::BIGINT[] || list_transform(string_split('nevent', ''), lambda x: (ascii(x) & 31)::BIGINT) || w || [0, 0, 0, 0, 0, 0]::BIGINT[],
+    lambda c, v: {_FOLD}), 1) AS c FROM w)
+SELECT id, CASE WHEN ok THEN 'nevent1' || array_to_string(list_transform(w || list_transform(range(6), lambda i: (c >> (5 * (5 - i))::INT) & 31), lambda x: substr('qpzry9x8gf2tvdw0s3jn54khce6mua7l', x::INT + 1, 1)), '') END AS address FROM s""")
 def event_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The address of every delivery of an event with a hexadecimal id."""
     from .session import ship

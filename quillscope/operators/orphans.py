@@ -15,7 +15,8 @@ batch depends on the batch, not on the state. Every :data:`COMPACT` batches the
 
 A batch counts once its commit is written; the commit names the segments of all tables. A tracker on a
 folder with commits goes on after the last one, a batch whose id is committed already is skipped, and
-segments without a commit are overwritten: so a stream may be restarted and a batch delivered again.
+segments without a commit are overwritten: so a stream may be restarted and a batch delivered again. A step that
+fails leaves the tracker as it was. Merged segments are kept until the next merge, for those who still read them, and deleted then.
 
 Status: ``ok``; ``missing`` (no such record, may still arrive); ``late`` (it arrived more than ``grace`` after
 the reference); ``deleted``. All but ``ok`` are open.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import norm_key, pack_key, unpack_key
 from ..plans.skew import TASK_ROWS, bitmap, hot_keys, salted_join, with_maybe
-from ..session import Scratch, list_folder, read_text, write_text
+from ..session import Scratch, list_folder, read_text, remove, write_text
 
 EVENT, AUTHOR = "e", "p"
 COMPACT = 16
@@ -104,11 +105,12 @@ class OrphanTracker:
         self.spark, self.grace, self.compact_every, self.task_rows = spark, grace_hours, compact_every, task_rows
         self.root = root.rstrip("/") if root else Scratch(spark, "orphans").root
         self.segments: dict[str, list[str]] = {name: [] for name in TABLES}
+        self.retired: list[str] = []  # merged segments that may still be read
         self.steps, self.last_batch = 0, None
         commits = sorted(int(n) for n in list_folder(spark, f"{self.root}/commits") if n.isdigit())
         if commits:
             state = json.loads(read_text(spark, f"{self.root}/commits/{commits[-1]}"))
-            self.segments, self.steps, self.last_batch = state["segments"], state["steps"], commits[-1]
+            self.segments, self.retired, self.steps, self.last_batch = state["segments"], state["retired"], state["steps"], commits[-1]
 
     def _table(self, name: str) -> DataFrame:
         paths = [f"{self.root}/{p}" for p in self.segments[name]]
@@ -130,6 +132,18 @@ class OrphanTracker:
         k = self.steps if batch_id is None else batch_id
         if self.last_batch is not None and k <= self.last_batch:
             return
+        before = {name: list(paths) for name, paths in self.segments.items()}, list(self.retired), self.steps
+        try:
+            old = self._take(k, batch, reports)
+        except BaseException:
+            self.segments, self.retired, self.steps = before
+            raise
+        self.last_batch = k
+        for path in old:
+            remove(self.spark, f"{self.root}/{path}")
+
+    def _take(self, k: int, batch: DataFrame, reports: DataFrame | None) -> list[str]:
+        """Work a batch into the state and commit it; gives the segments that nothing needs any more."""
         arrived = F.col("received_at").cast("timestamp")
         rows = batch.where(F.col("id").isNotNull()).select(
             pack_key(norm_key(F.col("id"))).alias("key"),
@@ -173,11 +187,10 @@ class OrphanTracker:
         todo = scratch.write(todo, "todo")
         self._add("refs", self._judge(todo), k)
         self.steps += 1
-        self.last_batch = k
-        if self.steps % self.compact_every == 0:
-            self._compact(k)
-        write_text(self.spark, f"{self.root}/commits/{k}", json.dumps({"steps": self.steps, "segments": self.segments}))
+        old = self._compact(k) if self.steps % self.compact_every == 0 else []
+        write_text(self.spark, f"{self.root}/commits/{k}", json.dumps({"steps": self.steps, "segments": self.segments, "retired": self.retired}))
         scratch.drop()
+        return old
 
     def _touched(self, name: str, keys: DataFrame) -> DataFrame:
         """The rows of a table whose kind and key may be in a bitmap; those of no other key are left where they lie."""
@@ -197,14 +210,16 @@ class OrphanTracker:
         judged = joined.select(*COLUMNS, status.alias("status"), "before", F.lit(self.steps).cast("bigint").alias("step"))
         return judged.where("before is null or status <> before")
 
-    def _compact(self, batch: int) -> None:
-        """Merge the segments of each table into one; the rows stay the same, and old segments stay for readers of old commits."""
+    def _compact(self, batch: int) -> list[str]:
+        """Merge the segments of each table into one, with the same rows; gives the segments that the merge before had replaced."""
+        old, self.retired = self.retired, [path for paths in self.segments.values() for path in paths]
         for name in TABLES:
             merged = self._table(name)
             path = f"{name}/upto-{batch}"
             pieces = max(1, merged.rdd.getNumPartitions() // 2)
             merged.coalesce(pieces).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{path}")
             self.segments[name] = [path]
+        return old
 
     def current(self) -> DataFrame:
         """Each reference with its status after the last step.

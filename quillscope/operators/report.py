@@ -57,6 +57,14 @@ def running_share(chunks: DataFrame, order: str, detected: str, total: str) -> D
     return chunks.withColumn("running_detected", d).withColumn("running_total", t).withColumn("running_share", F.round(F.when(t > 0, 100.0 * d / t).otherwise(0.0), 4))
 
 
+def together(human: DataFrame, *groups: DataFrame) -> DataFrame:
+    """Verdicts on human text and on any groups of machine text (with ``model``) as one bag with ``is_human``; columns that a part lacks are null."""
+    out = human.withColumn("is_human", F.lit(True)).withColumn("model", F.lit("human"))
+    for rows in groups:
+        out = out.unionByName(rows.withColumn("is_human", F.lit(False)), allowMissingColumns=True)
+    return out
+
+
 def outcome_counts(results: DataFrame, *by: str) -> DataFrame:
     """(by, accepted, rejected, failed, total) of the answers of relays: ``accepted`` true or false, null for none."""
     ok = F.col("accepted")

@@ -242,3 +242,14 @@ def verdict_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every document as text; a window of 500 tokens never has a manipulation score."""
     model = det.Model.from_rows(train_model(spark, sf_dir))
     return det.detect(_docs(spark, sf_dir).select("doc_id", "text"), "text", model, troll=model).select("doc_id", det.verdict_text(F.col("verdict")).alias("report"))
+
+
+@REGISTRY.add("""WITH v AS (SELECT is_human, model, human FROM (SELECT true AS is_human, 'human' AS model, human FROM crawl_csv WHERE label IS NOT NULL UNION ALL SELECT false, coalesce(troll_label, ''), human FROM crawl_csv WHERE label IS NULL
+  UNION ALL SELECT false, model, NULL FROM raid_csv WHERE model <> 'human'))
+SELECT is_human, model, count(*) AS n, count(human) AS judged FROM v GROUP BY ALL""")
+def group_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logged verdicts of two kinds, which stand for human text and one group of machine text, and samples that have none yet, as one bag."""
+    logged = load(spark, sf_dir, "crawl_csv").select("human", "label", F.coalesce("troll_label", F.lit("")).alias("model"))
+    samples = load(spark, sf_dir, "raid_csv").where("model <> 'human'").select("model")
+    bag = rep.together(logged.where("label is not null"), logged.where("label is null"), samples)
+    return bag.groupBy("is_human", "model").agg(F.count("*").alias("n"), F.count("human").alias("judged"))

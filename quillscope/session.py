@@ -97,7 +97,8 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         raise OSError(f"{path} could not be written")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of the shared folder, if it can be."""
     try:
         target, fs = _file_system(spark, path)
         fs.delete(target, True)
@@ -115,11 +116,11 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-        atexit.register(_remove, spark, self.root)
+        atexit.register(remove, spark, self.root)
 
     def drop(self) -> None:
         """Free the space now; nothing may read these tables any more."""
-        _remove(self.spark, self.root)
+        remove(self.spark, self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .feed_queries import _N
 from .functions.keys import norm_key
+from .operators import detect as det
 from .registry import Registry
 from .session import Scratch, load
 from .sources import feed, files
 from .streaming import live
+from .text_queries import _PROBE, _SCORED, TOKENS, _trained, train_model
 
 REGISTRY = Registry()
 
@@ -70,3 +74,34 @@ def newest_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A subscription with a limit."""
     rows = load(spark, sf_dir, "nostr_event").withColumn("id", F.concat_ws(" ", norm_key(F.col("id")), F.lpad(F.col("delivery_id").cast("string"), 20, "0")))
     return feed.subscribe(rows, 50, kinds=[1, 30023], since=1700000000).select("delivery_id")
+
+
+def _of_notes(sql: str) -> str:
+    """Steps over the tokens of documents as steps over those of notes, under other names."""
+    return re.sub(r"\b(hexed|piece|each|sized|tok)\b", r"n_\1", sql).replace("FROM documents", "FROM notes")
+
+
+@REGISTRY.add(f"""WITH notes AS (SELECT delivery_id AS doc_id, content AS text FROM nostr_event WHERE kind = 1 AND strlen(content) >= 50 AND NOT contains(content, 'https://our.example')),
+{_trained("model IS NULL")}, {_of_notes(TOKENS)}, {_of_notes(_PROBE.replace("WINDOW", "500"))}, {_SCORED}
+SELECT {_N.format("id")} AS id, count(*) AS n FROM scored s JOIN nostr_event e ON e.delivery_id = s.doc_id WHERE combined >= 0 AND least(1.0::DOUBLE, 3 * abs(combined)) >= 0.5 GROUP BY 1""")
+def watched_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The notes of a stream that would be answered, with their deliveries: routing by kind, filters, verdicts and triggers in one live query."""
+    model = det.Model.from_rows(train_model(spark, sf_dir))
+    scratch = Scratch(spark, "stream")
+    load(spark, sf_dir, "nostr_event").select("id", "pubkey", "created_at", "kind", "tags", "content", "sig").write.json(scratch.path("in"))
+    found = live.watch(feed.json_stream(spark, scratch.path("in"), per_trigger=4, valid_only=False), model, own_sign="https://our.example")
+    run = found.select("id").writeStream.format("parquet").option("path", scratch.path("out")).option("checkpointLocation", scratch.path("marks")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema("id string").parquet(scratch.path("out")).groupBy(norm_key(F.col("id")).alias("id")).agg(F.count("*").alias("n"))
+
+
+@REGISTRY.add(r"""WITH RECURSIVE u AS (SELECT t[2] AS raw FROM (SELECT unnest(tags) AS t FROM nostr_event WHERE kind = 10002) WHERE t[1] = 'r' AND (t[3] IS NULL OR t[3] <> 'read')),
+n AS (SELECT regexp_replace(regexp_replace(raw, '^\s+|\s+$', '', 'g'), '/+$', '') AS url FROM u) SELECT DISTINCT url FROM n WHERE regexp_matches(url, '^wss?://') AND NOT regexp_matches(lower(url), 'localhost|127\.0\.0\.1')""")
+def streamed_relays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of relays that a stream of relay lists names, each once."""
+    scratch = Scratch(spark, "stream")
+    load(spark, sf_dir, "nostr_event").select("id", "pubkey", "created_at", "kind", "tags", "content", "sig").write.json(scratch.path("in"))
+    urls = live.relay_urls(feed.json_stream(spark, scratch.path("in"), per_trigger=4, valid_only=False))
+    run = urls.writeStream.format("parquet").option("path", scratch.path("out")).option("checkpointLocation", scratch.path("marks")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema("url string").parquet(scratch.path("out"))

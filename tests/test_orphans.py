@@ -81,6 +81,22 @@ def test_compaction_and_many_steps(spark):
         plain.step(rows)
     assert found(t) == found(plain) and [len(x) for x in t.segments.values()] == [2, 2, 2] and sorted(map(str, t.snapshots().collect())) == sorted(map(str, plain.snapshots().collect()))
     assert {r["step"] for r in t.snapshots(2).collect()} == {1, 3}
+    # Two merges: what the first replaced is gone, what the second replaced may still be read.
+    from quillscope.session import list_folder
+
+    assert sorted(list_folder(spark, f"{t.root}/refs")) == ["2", "3", "4", "upto-1", "upto-3"]
+
+
+def test_a_failed_step_changes_nothing(spark, monkeypatch):
+    t = OrphanTracker(spark)
+    t.step(events(spark, ev("a", "u", 0, ("e", "b"))))
+    monkeypatch.setattr(t, "_judge", lambda todo: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        t.step(events(spark, ev("b", "u", 1)))
+    monkeypatch.undo()
+    assert len(found(t)) == 1 and t.steps == 1
+    t.step(events(spark, ev("b", "u", 1)))
+    assert found(t) == []
 
 
 def test_hot_woken_references_are_spread(spark):
