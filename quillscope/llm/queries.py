@@ -11,7 +11,7 @@ from ..registry import Registry
 from ..session import load
 from . import quality, repetition
 from .formatting import event_classes
-from .language import fit_model, infer_languages, normal_label
+from .language import NAMES, fit_model, infer_languages, normal_label
 from .mixing import mix
 from .sampling import sample_by_targets
 from .splitting import split_oversized
@@ -63,6 +63,17 @@ def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("id", F.posexplode("segments").alias("segment_no", "s")).select("id", "segment_no", "s.*").distinct()
 
 
+_CODES = " ".join(f"WHEN h IN ({', '.join(repr(x) for x in (code, *names))}) THEN '{code}'" for code, names in NAMES.items())
+
+
+@REGISTRY.add(f"""WITH l AS (SELECT DISTINCT lang AS label FROM nostr_event WHERE lang IS NOT NULL), h AS (SELECT label, string_split(string_split(lower(regexp_replace(label, '^\\s+|\\s+$', '', 'g')), '-')[1], '_')[1] AS h FROM l)
+SELECT label, CASE {_CODES} END AS code FROM h""")
+def p2_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling of a label with the language it names, or none."""
+    labels = load(spark, sf_dir, "nostr_event").where("lang is not null").select(F.col("lang").alias("label")).distinct()
+    return labels.select("label", normal_label(F.col("label")).alias("code"))
+
+
 @REGISTRY.add()
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records that fail the table of thresholds as no prose."""
