@@ -3,8 +3,9 @@
 The token with the 1-based place i of a stream counts at depth d (0 to 7) if i is a multiple of 2^(7-d). A profile is
 eight rows, one a depth, each with its eight counts. Documents are counted where they lie: a document that
 starts after ``offset`` tokens picks its own places of each stride, so a corpus needs no token rows, only the running sum of token counts.
-Texts never move. What moves for a corpus over :data:`..plans.skew.BROADCAST_ROWS` documents is their streams of channel
-numbers (three bits a token before compression), once, to meet their offsets; for smaller ones the offsets are broadcast.
+Texts and token streams never move. A document is boiled down, where it lies, to how many tokens of each channel it has at each residue of their place
+modulo 128 (1,024 small numbers, whatever its length): with the offset modulo 128 they give the counts of every depth. Only they meet the offsets, by a
+broadcast of these for up to :data:`..plans.skew.BROADCAST_ROWS` documents, else by a shuffle.
 """
 
 from __future__ import annotations
@@ -43,20 +44,46 @@ def level_counts(stream: Column, offset: Column) -> Column:
     return F.array(*[at_depth(d) for d in range(DEPTHS)])
 
 
-def document_streams(docs: DataFrame, order: str, text: str, window: int | None = TRAIN_WINDOW, chunk_bytes: int | None = CHUNK_BYTES) -> DataFrame:
-    """(file, stream): channel numbers of each document's first ``window`` tokens.
+RESIDUES = 1 << (DEPTHS - 1)
 
-    Written once (a channel takes three bits), as the streams are read for their sizes and again for their counts.
-    """
-    streams = docs.select(F.col(order).cast("bigint").alias("file"), channels(F.col(text), chunk_bytes, window).cast("array<tinyint>").alias("stream"))
-    return Scratch(docs.sparkSession, "streams").write(streams, "streams")
 
+def residue_counts(stream: Column) -> Column:
+    """Array of 128 x 8 counts of an array of channel numbers: by the 1-based place modulo 128, then by channel."""
+    def at_residue(r: Column) -> Column:
+        start = F.when(r == 0, RESIDUES).otherwise(r).cast("int")
+        places = F.when(start <= F.size(stream), F.sequence(start, F.size(stream), F.lit(RESIDUES))).otherwise(F.array().cast("array<int>"))
+        return F.when(F.size(places) > 0, pick_counts(F.transform(places, lambda p: F.element_at(stream, p)))).otherwise(F.array_repeat(F.lit(0).cast("bigint"), SIZE))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(RESIDUES - 1)), at_residue)).cast("array<int>")
 
-def with_offsets(streams: DataFrame) -> DataFrame:
+
+def counts_at(residues: Column, offset: Column) -> Column:
+    """The counts at each depth, as :func:`level_counts` gives them, from those by residue."""
+    def at_depth(depth: int) -> Column:
+        stride = 1 << (DEPTHS - 1 - depth)
+        first = F.pmod(-offset, F.lit(stride)).cast("int")
+        places = F.sequence(first, F.lit(RESIDUES - 1), F.lit(stride))
+        return F.array(*[F.aggregate(places, F.lit(0).cast("bigint"), lambda a, r: a + F.get(residues, r * SIZE + c)) for c in range(SIZE)])
+
+    return F.array(*[at_depth(d) for d in range(DEPTHS)])
+
+
+def document_counts(docs: DataFrame, order: str, text: str, window: int | None = TRAIN_WINDOW, chunk_bytes: int | None = CHUNK_BYTES) -> DataFrame:
+    """(file, size, residues): the number of each document's first ``window`` tokens, and their counts by residue. Written once."""
+    streams = docs.select(F.col(order).cast("bigint").alias("file"), F.explode(F.array(channels(F.col(text), chunk_bytes, window))).alias("stream"))
+    counted = streams.select("file", F.size("stream").cast("bigint").alias("size"), residue_counts(F.col("stream")).alias("residues"))
+    return Scratch(docs.sparkSession, "counts").write(counted, "counts")
+
+
+def with_offsets(counts: DataFrame) -> DataFrame:
     """Adds ``offset``: the tokens of all documents before, in the order of ``file``."""
-    sized = streams.select("file", F.size("stream").cast("bigint").alias("size"))
-    placed = exclusive_sum(sized, [], ["file"], {"offset": "size"})
-    return lookup(streams, placed.select("file", "offset"), "file", "inner")
+    placed = exclusive_sum(counts.select("file", "size"), [], ["file"], {"offset": "size"})
+    return lookup(counts, placed.select("file", "offset"), "file", "inner")
+
+
+def with_levels(placed: DataFrame) -> DataFrame:
+    """(file, levels) of documents with their offsets."""
+    return placed.select("file", counts_at(F.col("residues"), F.col("offset")).alias("levels"))
 
 
 def sum_levels(counted: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -83,7 +110,7 @@ def train(docs: DataFrame, order: str, text: str, window: int | None = TRAIN_WIN
 
     With a ``threshold`` only the documents up to the first at which the root's shape has converged are counted.
     """
-    counted = with_offsets(document_streams(docs, order, text, window, chunk_bytes)).select("file", level_counts(F.col("stream"), F.col("offset")).alias("levels"))
+    counted = with_levels(with_offsets(document_counts(docs, order, text, window, chunk_bytes)))
     if threshold is not None:
         stop = convergence(counted, threshold).agg(F.min(F.when(F.col("converged"), F.col("file"))).alias("stop"))
         counted = counted.join(F.broadcast(stop)).where(F.col("stop").isNull() | (F.col("file") <= F.col("stop")))  # one row
@@ -119,14 +146,14 @@ def fingerprint(docs: DataFrame, group: str, order: str, text: str, window: int
 
     After each document follow max(1, floor(3 n / 100)) origin tokens in the same stream.
     """
-    stream = channels(F.col(text), chunk_bytes, window).cast("array<tinyint>")
-    rows = docs.where(F.col(group).isNotNull()).select(F.col(group).alias("who"), F.col(order).cast("bigint").alias("file"), stream.alias("stream"))
-    rows = rows.withColumn("extra", F.greatest(F.lit(1), F.expr("3 * size(stream) div 100")).cast("int"))
-    rows = rows.withColumn("stream", F.concat("stream", F.array_repeat(F.lit(7).cast("tinyint"), F.col("extra"))))
-    rows = Scratch(docs.sparkSession, "streams").write(rows, "streams")
-    sized = rows.select("who", "file", F.size("stream").cast("bigint").alias("size"))
-    placed = exclusive_sum(sized, ["who"], ["file"], {"offset": "size"})
-    counted = lookup(rows, placed.select("who", "file", "offset"), ["who", "file"], "inner").select("who", "extra", level_counts(F.col("stream"), F.col("offset")).alias("levels"))
+    stream = F.explode(F.array(channels(F.col(text), chunk_bytes, window))).alias("stream")
+    rows = docs.where(F.col(group).isNotNull()).select(F.col(group).alias("who"), F.col(order).cast("bigint").alias("file"), stream)
+    extra = F.greatest(F.lit(1), F.expr("3 * size(stream) div 100")).cast("int")
+    rows = rows.select("who", "file", extra.alias("extra"), F.explode(F.array(F.concat("stream", F.array_repeat(F.lit(7), extra)))).alias("stream"))
+    rows = rows.select("who", "file", "extra", F.size("stream").cast("bigint").alias("size"), residue_counts(F.col("stream")).alias("residues"))
+    rows = Scratch(docs.sparkSession, "counts").write(rows, "counts")
+    placed = exclusive_sum(rows.select("who", "file", "size"), ["who"], ["file"], {"offset": "size"})
+    counted = lookup(rows, placed.select("who", "file", "offset"), ["who", "file"], "inner").select("who", "extra", counts_at(F.col("residues"), F.col("offset")).alias("levels"))
     levels = with_spectrum(sum_levels(counted, ["who"]))
     origin = counted.groupBy("who").agg(F.sum("extra").alias("origin_tokens"))
     return lookup(levels, origin, "who").withColumnRenamed("who", group)

@@ -122,7 +122,7 @@ def train_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id AS file, (sum(n) OVER (ORDER BY doc_id) - n)::BIGINT AS "offset" FROM n""")
 def train_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens before each document of the corpus."""
-    return prof.with_offsets(prof.document_streams(_human(spark, sf_dir), "doc_id", "text")).where("size(stream) > 0").select("file", "offset")
+    return prof.with_offsets(prof.document_counts(_human(spark, sf_dir), "doc_id", "text")).where("size > 0").select("file", "offset")
 
 
 _RUN = ", ".join(f"sum(r{c}) OVER w AS s{c}" for c in range(8))
@@ -140,8 +140,8 @@ shape AS (SELECT file, rn >= 8 AND coalesce(min(ok) OVER (ORDER BY file ROWS 14
 @REGISTRY.add(f"WITH {_CONVERGENCE} SELECT file, converged FROM shape")
 def convergence_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the root's shape has converged after each document."""
-    placed = prof.with_offsets(prof.document_streams(_human(spark, sf_dir), "doc_id", "text"))
-    return prof.convergence(placed.select("file", prof.level_counts(F.col("stream"), F.col("offset")).alias("levels"))).select("file", "converged")
+    placed = prof.with_offsets(prof.document_counts(_human(spark, sf_dir), "doc_id", "text"))
+    return prof.convergence(prof.with_levels(placed)).select("file", "converged")
 
 
 @REGISTRY.add(f"""WITH {_CONVERGENCE}, early AS (SELECT * FROM own WHERE doc_id <= (SELECT coalesce(min(file) FILTER (converged), 1 << 60) FROM shape))

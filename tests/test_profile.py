@@ -40,8 +40,8 @@ def test_places_run_through_all_documents(spark):
 
 def test_convergence_needs_eight_like_documents(spark):
     like = [text(*["w2", "punct", "w3", "punct"] * 1000)] * 12
-    placed = prof.with_offsets(prof.document_streams(corpus(spark, like), "doc_id", "text", chunk_bytes=None))
-    counted = placed.select("file", prof.level_counts(F.col("stream"), F.col("offset")).alias("levels"))
+    placed = prof.with_offsets(prof.document_counts(corpus(spark, like), "doc_id", "text", chunk_bytes=None))
+    counted = prof.with_levels(placed)
     flags = [r["converged"] for r in prof.convergence(counted).orderBy("file").collect()]
     assert not any(flags[:7]) and all(flags[7:])
 
@@ -113,8 +113,8 @@ def test_probe(spark):
 def test_convergence_is_the_same_in_small_blocks(spark):
     texts = [text(*["w2", "punct", "w3", "punct"] * (300 + 7 * (i % 5))) for i in range(60)] + [text(*["w4", "space"] * 4000)] + [text(*["w2", "punct", "w3", "punct"] * 500)] * 40
     docs = spark.createDataFrame([(i * 1_000_003_000_000, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
-    placed = prof.with_offsets(prof.document_streams(docs, "doc_id", "text", chunk_bytes=None))
-    counted = placed.select("file", prof.level_counts(F.col("stream"), F.col("offset")).alias("levels"))
+    placed = prof.with_offsets(prof.document_counts(docs, "doc_id", "text", chunk_bytes=None))
+    counted = prof.with_levels(placed)
     whole, cut = ([tuple(r) for r in prof.convergence(counted, block=n).select("file", "converged").orderBy("file").collect()] for n in (100_000, 20))
     assert whole == cut and len(cut) == 101 and len({c for _, c in cut}) == 2
 
@@ -126,3 +126,20 @@ def test_text_is_tokenised_once_in_each_plan(spark):
     for name in ("channel_counts", "token_window_features", "walsh_levels", "multiscale_counts"):
         plan = getattr(tq, name)(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("coalesce(text") == 1, name
+
+
+def test_residues_give_the_counts_of_any_offset(spark):
+    streams = [[], [3], [c % 8 for c in range(1000)], [(c * c) % 7 for c in range(300)]]
+    df = spark.createDataFrame([(s, o) for s in streams for o in (0, 1, 63, 64, 127, 128, 12_345)], "s array<int>, o bigint")
+    both = df.select(prof.level_counts(F.col("s"), F.col("o")).alias("a"), prof.counts_at(prof.residue_counts(F.col("s")), F.col("o")).alias("b"))
+    assert both.where("a <> b").count() == 0 and both.count() == 28
+
+
+def test_no_stream_is_shuffled_in_training(spark, monkeypatch):
+    from quillscope.plans import skew
+
+    docs = corpus(spark, [text(*["w2", "punct"] * k) for k in (3, 50, 1, 64, 10)])
+    want = spatial(prof.train(docs, "doc_id", "text", threshold=None))
+    monkeypatch.setattr(skew.lookup, "__defaults__", ("left", 2))  # as for a corpus beyond a broadcast
+    levels = prof.train(docs, "doc_id", "text", threshold=None)
+    assert spatial(levels) == want and "stream" not in levels._jdf.queryExecution().toString()
